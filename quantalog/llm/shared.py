@@ -1,39 +1,21 @@
-"""What the operators of this subpackage share: the shared folder, written tables, byte-bounded slices of Arrow batches."""
+"""What the operators of this subpackage share: written tables, byte-bounded slices of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of text that Python code works on at once; one longer row still comes whole.
-SLICE_BYTES = 4 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="quantalog-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from quantalog.operators.checkpoints import removed, shared_path, written
 
+__all__ = ["ascii_lower", "binary_array", "list_array", "removed", "shared_path", "slices", "spread", "written"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quantalog/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that Python code works on at once; one longer row still comes whole.
+SLICE_BYTES = 4 << 20
 
 
 def ascii_lower(text: Column) -> Column:
