@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalog.llm import bpe, exact_dedup, packing, token_counts, topk
+from quantalog.llm import bpe, exact_dedup, packing, simhash, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,12 @@ WINDOW same AS (PARTITION BY t)
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), most=2, shingle=3)
+    return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
@@ -70,7 +76,7 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op4_byte_bpe, op5_top_k, op7_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_simhash, op4_byte_bpe, op5_top_k, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
