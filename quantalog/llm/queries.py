@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalog.llm import bpe, exact_dedup, packing, simhash, substring_dedup, token_counts, topk
+from quantalog.llm import bpe, exact_dedup, html_text, language_id, packing, simhash, substring_dedup, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,29 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document and every page: doc_id or page_id, language, posterior, text_language, kept.
+
+    Documents are judged by their text and the prior of their source. Pages are judged by their visible text, the language
+    of their html tag, and their address. The text model is fitted on labelled documents.
+    """
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    own = language_id.identify(docs, model, host_col="source")
+    pages = table(spark, sf_dir, "pages")
+    marked = F.regexp_extract("html", r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    visible = html_text.extract_text(pages, carry=("url", "html")).withColumn("declared", marked)
+    of_pages = language_id.identify(visible, model, id_col="page_id", declared_col="declared", url_col="url")
+    columns = ("language", "posterior", "text_language", "kept")
+    return own.select("doc_id", F.lit(None).cast("long").alias("page_id"), *columns).unionByName(of_pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *columns))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, text, n_chars, n_lines."""
+    rows = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
@@ -82,7 +105,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_simhash, op4_byte_bpe, op5_top_k, op7_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_simhash, op4_byte_bpe, op5_top_k, op7_packing, op8_language_id, op9_html_text, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
