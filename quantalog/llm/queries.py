@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalog.llm import bpe, exact_dedup, html_text, language_id, packing, simhash, substring_dedup, token_counts, topk
+from quantalog.llm import bpe, exact_dedup, html_text, language_id, packing, simhash, substring_dedup, suffix_dedup, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), match=400, keep="none")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
     rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.BYTE_50K))
@@ -105,7 +111,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_simhash, op4_byte_bpe, op5_top_k, op7_packing, op8_language_id, op9_html_text, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_simhash, op4_byte_bpe, op5_top_k, op6_suffix_dedup, op7_packing, op8_language_id, op9_html_text, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
