@@ -7,14 +7,15 @@ the m possible runs of these leading segments; the rest of the chain's budgets a
 of that join, so only links leave it.
 
 A run shared by very many fingerprints would compare all its pairs. Beyond BUCKET fingerprints it takes an exact way that
-emits no pairs: two fingerprints differ in at most 2 bits if and only if flipping at most one bit of each can make them
-equal. Each fingerprint of such a run visits its neighbours at up to one flipped bit, and all that meet at one are linked,
-each to the least of them. That way grows with the fingerprints and not with their pairs.
+emits no pairs: two fingerprints differ in at most t bits if and only if flipping at most half of t bits of each (rounded up
+for one of them) can make them equal. Each fingerprint of such a run visits its neighbours at so many flipped bits, and all
+that meet at one are linked, each to the least. That way grows with the fingerprints and not with their pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from quantalog.llm.shared import slices, written
 from quantalog.operators.components import connected_components
 
 BITS, SEED = 64, 42
-#: Fingerprints on one run of leading segments that are compared pair by pair.
-BUCKET = 256
+#: Fingerprints on one run of leading segments that are compared pair by pair, by the most differing bits; visits grow with these.
+BUCKET = {0: 256, 1: 256, 2: 256, 3: 4096, 4: 4096}
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -87,25 +88,23 @@ def _chain(a: Column, b: Column, first: int, parts: list[tuple[int, int]], most:
     return ok
 
 
-def links(prints: DataFrame, most: int = 2, segments: int = 5, bucket: int = BUCKET) -> DataFrame:
+def links(prints: DataFrame, most: int = 2, segments: int = 5, bucket: int | None = None) -> DataFrame:
     """(src, dst): edges between distinct fingerprints (column fp) that connect just those with at most `most` different bits.
 
-    Every link shows directly, or, on crowded runs (only possible with most <= 2), as a path of links.
+    Every link shows directly, or, on crowded runs, as a path of links.
     """
-    if most > 2:
-        bucket = None  # the way around pairs knows two flipped bits
+    if most not in BUCKET:
+        raise ValueError(f"at most {max(BUCKET)} differing bits")
+    bucket = bucket or BUCKET[most]
     parts = ring(segments)
     lead = max([j for j in range(1, segments + 1) if j * most // segments == 0], default=0)
     if not lead:
         raise ValueError("more segments than differing bits are needed")
     mask = F.element_at(F.array(*[F.lit(_mask([parts[(i + j) % segments] for j in range(lead)])).cast("long") for i in range(segments)]), F.col("first") + 1)
     runs = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("first")).withColumn("run", F.col("fp").bitwiseAND(mask))
-    crowded = None
-    if bucket:
-        sizes = runs.groupBy("first", "run").count().where(F.col("count") > bucket).select("first", "run")
-        crowded = written(sizes, "crowded")
-        if crowded.isEmpty():
-            crowded = None
+    crowded = written(runs.groupBy("first", "run").count().where(F.col("count") > bucket).select("first", "run"), "crowded")
+    if crowded.isEmpty():
+        crowded = None
     calm = runs if crowded is None else runs.join(crowded, ["first", "run"], "left_anti")
     a, b = calm.alias("a"), calm.alias("b")
     good = F.lit(False)
@@ -116,9 +115,11 @@ def links(prints: DataFrame, most: int = 2, segments: int = 5, bucket: int = BUC
     if crowded is None:
         return edges
     packed = runs.join(crowded, ["first", "run"], "left_semi").select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_mask([(i, 1)])).cast("long") for i in range(BITS)])
-    visits = packed.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("at"))
-    met = visits.groupBy("at").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").select("at", "dst")
+    sets = [c for n in range(-(-most // 2) + 1) for c in combinations(range(BITS), n)]
+    masks = F.array(*[F.lit(_mask([(i, 1) for i in c])).cast("long") for c in sets])
+    few = sum(len(c) <= most // 2 for c in sets)
+    visits = packed.select("fp", F.posexplode(masks).alias("n", "bits")).select("fp", F.col("fp").bitwiseXOR(F.col("bits")).alias("at"), (F.col("n") < few).alias("few"))
+    met = visits.groupBy("at").agg(F.min(F.when(F.col("few"), F.col("fp"))).alias("dst"), F.count("*").alias("n")).where("n > 1 and dst is not null").select("at", "dst")
     return edges.unionByName(visits.join(met, "at").where("fp != dst").select(F.col("fp").alias("src"), "dst").distinct())
 
 
