@@ -46,10 +46,14 @@ def scored(assets: DataFrame, w_h: float = 0.5, w_t: float = 0.5) -> DataFrame:
     def axis_t(reading: str) -> Column:
         return F.col("c") * (1 - survival(on_t, reading))
 
+    def exact(score: str, weight: float) -> Column:
+        """In decimals, so that a half at the seventh place rounds alike everywhere."""
+        return F.col(score).cast("decimal(12,6)") * F.lit(str(weight)).cast("decimal(5,4)")
+
     zero = F.lit(0.0)
     both = [F.when(real, F.round(w_h * axis_h(r) + w_t * axis_t(r), 6)).otherwise(zero) for r in ("optimistic", "pessimistic")]
     out = assets.withColumns({"h_score": F.when(real, F.round(axis_h("median"), 6)).otherwise(zero), "t_score": F.when(real, F.round(axis_t("median"), 6)).otherwise(zero)})
-    return out.withColumns({"qirs": F.round(w_h * F.col("h_score") + w_t * F.col("t_score"), 6), "qirs_low": F.least(*both), "qirs_high": F.greatest(*both)})
+    return out.withColumns({"qirs": F.round(exact("h_score", w_h) + exact("t_score", w_t), 6).cast("double"), "qirs_low": F.least(*both), "qirs_high": F.greatest(*both)})
 
 
 def scheduled(assets: DataFrame, personas: dict[str, str], as_of_year: float) -> DataFrame:
@@ -99,7 +103,7 @@ def order_keys() -> list[Column]:
     tier = F.when(F.col("quantum_vulnerable"), 0).when(F.col("classically_broken"), 1).when(F.col("verdict") == "unknown", 2).otherwise(3)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, K.CATEGORIES)), F.col("category")), F.lit(0))
     mine = F.col("quantum_vulnerable")
-    return [tier, F.when(mine, rank).otherwise(0), F.when(mine, -F.col("margin_median")).otherwise(0.0), F.when(mine, -F.col("qirs")).otherwise(0.0), F.col("name"), F.col("id")]
+    return [tier, F.when(mine, rank).otherwise(0), F.when(mine, -F.col("margin_median")).otherwise(0.0), F.when(mine, -F.col("qirs")).otherwise(0.0), F.col("name"), F.col("id"), F.col("system"), F.col("asset_class")]
 
 
 def ranked(assets: DataFrame, keys: list[Column] | None = None, name: str = "priority_rank") -> DataFrame:
