@@ -43,8 +43,11 @@ def trigrams(text: str) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of each bucket in each: from at most `sample` labelled rows with letters."""
     good = F.col(label_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
-    chosen = labelled.where(good).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(id_col).alias("id"))
-    chosen = written(chosen.orderBy("order", "id").limit(sample), "sample").repartition(16, "order")
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    rows = labelled.where(good).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"), F.col(id_col).alias("id"))
+    first = written(rows.select("order", "id").orderBy("order", "id").limit(sample), "sample")  # ids only; at most `sample` of them
+    last = first.agg(F.max("order")).first()[0]
+    chosen = rows.where(F.col("order") <= F.lit(last if last is not None else 0)).repartition(16, "order")  # and rows that tie with the last
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
