@@ -147,11 +147,7 @@ class RankEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
-        units = self.store.index(texts)
-        store, every = self.store, np.concatenate(units)
-        ids = store.flat[spread(store.starts[every], store.lengths[every])]
-        counts = np.fromiter((int(store.lengths[u].sum()) for u in units), np.int64, len(units))
-        return ids, counts
+        return self.store.values(texts)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all id sequences one after the other, and how many each has."""

@@ -1,58 +1,83 @@
 """Mixture-controlled packing of documents into training windows.
 
-Each source is a queue of tokens. Deficit round-robin visits the queues window by window: in a window of c tokens a queue
-with share p is owed c * p tokens, takes a whole number of them, and carries what it is still owed (less than one token)
-to the next window. With shares that are whole numbers n / g this has a closed form: after b tokens overall, the queues up
-to and including the k-th have had floor(b * (n1 + ... + nk) / g). So the deficits are carried across windows and
-partitions by arithmetic: each task places its own tokens, given how many of their queue come before them, without a
-sequential pass. A queue that runs dry ends a phase; the others share what follows.
+Each source is a queue of tokens. Deficit round-robin serves the queues by quanta of QUANTUM tokens: every queue is owed its
+share of each window, is served when it is owed half a quantum more than it has had, and carries the rest to the next window.
+So the k-th of a queue's m quanta is due at the time (2k + 1) / 2m, and the windows are filled in order of due time. That
+has a closed form: how many tokens of each queue lie before a point of time is arithmetic, and the time at which so many
+windows are full is found by bisection. Deficits are thus carried across windows and partitions without a sequential pass:
+each task places its own tokens, given how many of their queue come before them. A queue that runs dry ends a phase; the
+others share what follows.
 """
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalog.llm.shared import binary_array, list_array, slices, spread, written
-from quantalog.llm.units import UnitStore
+from quantalog.llm.bpe import RankEncoder
+from quantalog.llm.shared import SLICE_BYTES, binary_array, slices, spread, written
+from quantalog.llm.units import IntMap, UnitStore, byte_of_letter
 
+#: Tokens of a queue that are served at once.
+QUANTUM = 64
 #: The tokens of so many (block, source) counts are sent to every executor (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Queues are counted on the driver, a name and a number each.
 MOST_SOURCES = 1_000_000
 
 
-class LibraryEncoder:
-    """Ids of the tokenizers library, its special strings included, by units that were encoded before."""
+class LibraryEncoder(RankEncoder):
+    """Ids that the tokenizers library gives, its special strings included, for a byte-level BPE file without ignored merges.
+
+    Units are merged in matrices (see bpe.py); the library itself encodes units that contain a special string, and all of
+    them if the file's ids don't follow the order of its merges.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.store = UnitStore(self._fill, np.int32)
-
-    def _fill(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        units = self.store.index(texts)
-        store, every = self.store, np.concatenate(units)
-        counts = np.fromiter((int(store.lengths[u].sum()) for u in units), np.int64, len(units))
-        return store.flat[spread(store.starts[every], store.lengths[every])], counts
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        of = byte_of_letter()
+        vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        made = [vocab[a + b] for a, b in merges]
+        self.ordered = not spec["model"].get("ignore_merges") and all(x < y for x, y in zip(made, made[1:], strict=False))
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.byte_ids = np.zeros(256, np.int32)
+        for letter, byte in of.items():
+            self.byte_ids[byte] = vocab[letter]
+        keys = [vocab[a] << 32 | vocab[b] for a, b in merges]
+        self.pairs, self.pair_rank, self.ranks = IntMap(keys, made), dict(zip(keys, made, strict=True)), {}
+        self.store = UnitStore(self.encode_units, np.int32)
+
+    def encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.special)] if self.ordered else list(range(len(texts)))
+        if not odd:
+            return super().encode_units(texts)
+        hidden = set(odd)
+        values, lengths = super().encode_units(["" if i in hidden else t for i, t in enumerate(texts)])
+        parts = np.split(values, np.cumsum(lengths)[:-1])
+        for i, found in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
+            parts[i] = np.array(found.ids, np.int32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 @lru_cache(maxsize=2)
 def library(path: str) -> LibraryEncoder:
-    import os
-
+    """One for each worker process and vocabulary file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return LibraryEncoder(path)
 
@@ -60,73 +85,99 @@ def library(path: str) -> LibraryEncoder:
 class Mixture:
     """Which tokens of which queue stand where. totals: tokens of each queue; weights: its share (none given: its part of all)."""
 
-    def __init__(self, totals: Mapping[str, int], weights: Mapping[str, float] | None, window: int):
+    def __init__(self, totals: Mapping[str, int], weights: Mapping[str, float] | None, window: int, quantum: int = QUANTUM):
         self.names = sorted(totals)
         self.number = {name: k for k, name in enumerate(self.names)}
-        self.window, self.total = window, sum(totals.values())
-        left = [totals[name] for name in self.names]
-        self.phases: list[tuple[int, int, list[int]]] = []  # tokens before it, its tokens, its tokens of the queues before each
+        self.window, self.quantum, self.total = window, quantum, sum(totals.values())
+        left = np.array([totals[name] for name in self.names], np.int64)
+        share = np.array([float((weights or {}).get(name, 0)) for name in self.names])
+        self.phases: list[tuple[int, np.ndarray]] = []  # tokens before it, its tokens of each queue
         at = 0
-        share = [float((weights or {}).get(name, 0)) for name in self.names]
-        while weights and any(n and w > 0 for n, w in zip(left, share, strict=True)):
-            turns = min(n / w for n, w in zip(left, share, strict=True) if n and w > 0)
-            take = [(n if n / w <= turns else min(n, round(w * turns))) if n and w > 0 else 0 for n, w in zip(left, share, strict=True)]
-            at = self._phase(at, take)
-            left = [n - t for n, t in zip(left, take, strict=True)]
-        if any(left):  # no weights, or queues without one: in proportion to what they hold
-            self._phase(at, left)
+        while (served := (left > 0) & (share > 0)).any():
+            turns = (left[served] / share[served]).min()
+            take = np.where(served, np.minimum(left, np.rint(share * turns).astype(np.int64)), 0)
+            take[served & (left <= share * turns)] = left[served & (left <= share * turns)]
+            self.phases.append((at, take))
+            at, left = at + int(take.sum()), left - take
+        if left.any():  # no weights, or queues without one: in proportion to what they hold
+            self.phases.append((at, left))
         full, rest = divmod(self.total, window)
         tail = [1 << bit for bit in range(rest.bit_length() - 1, -1, -1) if rest >> bit & 1]
         self.full, self.tail = full, np.cumsum([full * window, *tail])  # the rest goes into sequences of a power of two
-
-    def _phase(self, at: int, take: list[int]) -> int:
-        before = [0]
-        for n in take:
-            before.append(before[-1] + n)
-        self.phases.append((at, before[-1], before))
-        return at + before[-1]
-
-    def upto(self, b: np.ndarray, queue: int) -> np.ndarray:
-        """Tokens of the queues before `queue` among the first b tokens of all."""
-        out = np.zeros(len(b), object if self.total >= 1 << 31 else np.int64)
-        for at, size, before in self.phases:
-            if size:
-                inside = np.clip(b - at, 0, size).astype(out.dtype)
-                out += inside * before[queue] // size
+        self.last = full + len(tail) - 1
+
+    def _served(self, take: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens of each queue among the first b tokens of a phase; a row for each b."""
+        size, q = int(take.sum()), self.quantum
+        quanta = -(-take // q)
+        bits = max(4, (16 * max(1, size // q)).bit_length())
+        kind = object if bits + 2 + int(quanta.max()).bit_length() > 62 else np.int64
+        times, quanta = 1 << bits, quanta.astype(kind)
+
+        def upto(time: np.ndarray) -> np.ndarray:
+            done = ((time[:, None] + 1) * 2 * quanta - 1) // times
+            return np.minimum(np.maximum((done + 1) // 2, 0) * q, take).astype(np.int64)
+
+        slack = q * (len(take) + 2)
+        guess = lambda x: np.clip(x / size * times, 0, times - 1).astype(np.int64).astype(kind)
+        low, high = guess(b.astype(float) - slack) - 2, guess(b.astype(float) + slack) + 2
+        low, high = np.maximum(low, 0), np.minimum(high, times - 1)
+        while (low < high).any():  # the first time at which b tokens are due
+            middle = (low + high) // 2
+            enough = upto(middle).sum(1) >= b
+            low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+        before, after = upto(low - 1), upto(low)
+        own = after - before  # due at the same time: queue by queue
+        return before + np.clip((b - before.sum(1))[:, None] - (np.cumsum(own, 1) - own), 0, own)
+
+    def served(self, b: np.ndarray) -> np.ndarray:
+        """Tokens of each queue among the first b tokens of all; a row for each b."""
+        out = np.zeros((len(b), len(self.names)), np.int64)
+        for at, take in self.phases:
+            inside = np.clip(b - at, 0, int(take.sum()))
+            some = inside > 0
+            if some.any():
+                out[some] += self._served(take, inside[some])
         return out
 
     def ends(self, sequence: np.ndarray) -> np.ndarray:
         """Tokens of all in the sequences before each given one."""
         return np.where(sequence <= self.full, sequence * self.window, self.tail[np.clip(sequence - self.full, 0, len(self.tail) - 1)])
 
-    def place(self, source: str, first: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens first .. first + size of a queue: start (from 0), length, sequence and offset of each piece."""
-        queue, most = self.number[source], self.full + len(self.tail) - 1
-        had = lambda s: (self.upto(e := self.ends(s), queue + 1) - self.upto(e, queue)).astype(np.int64)
-
-        def before(token: int) -> int:
-            """The last sequence before which at most `token` tokens of the queue were placed."""
-            low, high = 0, most
-            while low < high:
-                middle = (low + high + 1) // 2
-                low, high = (middle, high) if had(np.array([middle]))[0] <= token else (low, middle - 1)
-            return low
-
-        one, other = before(first), before(first + size - 1)
-        sequence = np.arange(one, other + 1)
-        edges = had(np.arange(one, other + 2))
-        start, stop = np.maximum(edges[:-1], first), np.minimum(edges[1:], first + size)
-        slot = self.upto(self.ends(sequence + 1), queue) - self.upto(self.ends(sequence), queue)  # of the queues before it
-        offset = slot.astype(np.int64) + start - edges[:-1]
-        some = stop > start
-        return start[some] - first, (stop - start)[some], sequence[some], offset[some]
+    def sequence_of(self, queue: int, token: int) -> int:
+        """The sequence that holds a token of a queue."""
+        low, high = 0, self.last
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self.served(self.ends(np.array([middle])))[0, queue] <= token else (low, middle - 1)
+        return low
+
+    def place(self, source: str, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Documents that follow each other in a queue, from token first[0] on: document number, start, length, sequence, offset of each piece."""
+        queue, low, high = self.number[source], int(first[0]), int(first[-1] + size[-1])
+        one, other = self.sequence_of(queue, low), self.sequence_of(queue, high - 1)
+        had = self.served(self.ends(np.arange(one, other + 2)))
+        edge, ahead = had[:, queue], had[:, :queue].sum(1)
+        cut = np.unique(np.concatenate([first, edge[(edge > low) & (edge < high)]]))
+        document = np.searchsorted(first, cut, "right") - 1
+        at = np.searchsorted(edge, cut, "right") - 1
+        return document, cut - first[document], np.diff(np.append(cut, high)), one + at, ahead[at + 1] - ahead[at] + cut - edge[at]
+
+
+@lru_cache(maxsize=2)
+def id_type(path: str) -> np.dtype:
+    """Numbers that hold every id of a vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
 
 
 def tokenised(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, block, before, n_tokens, ids): before counts the tokens of the same source earlier in the block."""
+    """(id, source, block, before, n_tokens, ids): before counts the tokens of the same source earlier in the block; ids are packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, block, counts = library(path), TaskContext.get().partitionId(), {}
+        kind = id_type(path)
         for batch in batches:
             for part in slices(batch, 2):
                 ids, sizes = coder.encode(part.column(2).to_pylist())
@@ -137,24 +188,33 @@ def tokenised(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
                     before.append(counts.get(source, 0))
                     counts[source] = before[-1] + size
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.full(len(sizes), block, np.int32)), pa.array(before, pa.int64()), pa.array(sizes), list_array(ids, sizes, pa.int32())],
+                    [part.column(0), part.column(1), pa.array(np.full(len(sizes), block, np.int32)), pa.array(before, pa.int64()), pa.array(sizes), binary_array(ids.astype(kind), sizes * kind.itemsize)],
                     ["id", "source", "block", "before", "n_tokens", "ids"],
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, source string, block int, before long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(run, f"id {kind}, source string, block int, before long, n_tokens long, ids binary")
 
 
 def pack(
-    df: DataFrame, path: str, window: int = 1024, weights: Mapping[str, float] | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    df: DataFrame,
+    path: str,
+    window: int = 1024,
+    weights: Mapping[str, float] | None = None,
+    end_id: int = 0,
+    with_ids: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
 ) -> DataFrame:
-    """A row for each piece: id, source, start, length, doc_tokens, sequence_id, offset, ids (binary, little-endian uint32).
+    """A row for each piece: id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32, and with_ids also ids.
 
-    A document is its ids and `end_id`. Windows hold `window` tokens; what is left at the end goes into sequences whose
-    sizes are powers of two, so nothing is padded. Every window has its tokens in the proportions `weights` (sources
-    without one follow at the end), or in those of the corpus. A null text counts as empty and a null source as ''; null
-    and repeated ids are packed row by row; an empty table gives no pieces; other columns are ignored.
+    A document is its ids and `end_id`. ids are binary, little-endian unsigned 32-bit numbers, and ids_crc32 is of these bytes.
+    Windows hold `window` tokens; what is left at the end goes into sequences whose sizes are powers of two, so nothing is
+    padded. Every window has its tokens in the proportions `weights` (sources without one follow at the end), or in those of
+    the corpus, to within a quantum. A null text counts as empty and a null source as ''; null and repeated ids are packed
+    row by row; an empty table gives no pieces; other columns are ignored.
     """
     table = written(tokenised(df, path, end_id, id_col, text_col, source_col), "tokens")
     blocks = table.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
@@ -169,17 +229,29 @@ def pack(
     rows = table.join(base, ["source", "block"]).select("id", "source", (F.col("base") + F.col("before")).alias("first"), "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_type(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                pieces = [mixture.place(*x) for x in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-                number = np.fromiter((len(p[0]) for p in pieces), np.int64, len(pieces))
-                start, length, sequence, offset = (np.concatenate(x) for x in zip(*pieces, strict=True))
-                row = pa.array(np.repeat(np.arange(len(pieces)), number))
-                ids = part.column(4).flatten().to_numpy(zero_copy_only=False).astype("<u4")  # pieces follow each other without gaps
-                columns = [part.column(0).take(row), part.column(1).take(row), pa.array(start), pa.array(length), part.column(3).take(row), pa.array(sequence), pa.array(offset), binary_array(ids, length * 4)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            for part in slices(batch, 4, 4 * SLICE_BYTES):
+                source = part.column(1).dictionary_encode()
+                names, code = source.dictionary.to_pylist(), source.indices.to_numpy(zero_copy_only=False)
+                first, size = part.column(2).to_numpy(), part.column(3).to_numpy()
+                order = np.lexsort([first, code])
+                follows = np.append(False, (code[order][1:] == code[order][:-1]) & (first[order][1:] == (first + size)[order][:-1]))
+                found = []
+                for members in np.split(order, np.flatnonzero(~follows)[1:]):
+                    document, *more = mixture.place(names[code[members[0]]], first[members], size[members])
+                    found.append((members[document], *more))
+                row, start, length, sequence, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+                ids = np.frombuffer(b"".join(part.column(4).to_pylist()), kind).astype("<u4")
+                begin = (np.cumsum(size) - size)[row] + start
+                raw = memoryview(ids).cast("B")
+                crc = [crc32(raw[a:b]) for a, b in zip((begin * 4).tolist(), ((begin + length) * 4).tolist(), strict=True)]
+                at = pa.array(row)
+                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(start), pa.array(length), part.column(3).take(at), pa.array(sequence), pa.array(offset), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(binary_array(ids[spread(begin, length)], length * 4))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"][: len(columns)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
-    return out.withColumnRenamed("id", id_col)
+    fields = f"id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long" + ", ids binary" * with_ids
+    return rows.mapInArrow(run, fields).withColumnRenamed("id", id_col)

@@ -41,8 +41,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
-    rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.BYTE_50K))
-    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+    rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.BYTE_50K), with_ids=False)
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantalog.llm.shared import binary_array, slices, spread
-from quantalog.llm.units import IntMap, UnitStore, piece_starts
+from quantalog.llm.units import IntMap, UnitStore, byte_of_letter, piece_starts
 
 BYTE_50K = "byte_bpe_50k.json"
 #: Contractions of the pattern that fall into two pieces when cut after two characters.
@@ -29,20 +29,13 @@ SPACES = regex.compile(r"\s{2,}")
 LATE = np.iinfo(np.int64).max
 
 
-def _byte_of_letter() -> dict[str, int]:
-    """The usual alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest for U+0100 and on."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in kept]
-    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Token counts of prefixes under a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        of = _byte_of_letter()
+        of = byte_of_letter()
         raw = lambda word: bytes(of[c] for c in word)
         self.vocab = {raw(w): i for w, i in spec["model"]["vocab"].items() if all(c in of for c in w)}
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -212,12 +205,10 @@ class PrefixCounter:
 
     def prefix_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The counts at every byte prefix of all texts one after the other, and the texts' lengths in bytes."""
-        units = self.store.index(texts)
-        store, every = self.store, np.concatenate(units)
+        every, number = self.store.index(texts)
+        store = self.store
         lengths = store.lengths[every]
-        ends = store.starts[every] + lengths - 1
-        totals = np.where(lengths > 0, store.flat[ends], 0).astype(np.int64)
-        number = np.fromiter(map(len, units), np.int64, len(units))
+        totals = np.where(lengths > 0, store.flat[np.maximum(store.starts[every] + lengths - 1, 0)], 0).astype(np.int64)
         before = np.cumsum(totals) - totals
         firsts = np.cumsum(number) - number
         before -= np.repeat(before[firsts], number)  # each text starts at 0

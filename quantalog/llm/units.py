@@ -7,10 +7,13 @@ next match. So a text falls apart there into units that can be encoded alone, an
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import regex
 
+from quantalog.llm.shared import spread
+
 INNER_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 
 #: After a word, each of these is a piece of its own when it ends the unit.
@@ -37,7 +40,9 @@ def _sure(key: str) -> bool:
 def piece_starts(texts: list[str], data: list[bytes], find: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, byte offset) of every piece that isn't its text's first. data: the texts in UTF-8."""
     rows, offsets = [], []
-    for i, text in enumerate(texts):
+    odd = [i for i, text in enumerate(texts) if not (text[1:].isalpha() and (text[0] == " " or text[0].isalpha()))]
+    for i in odd:
+        text = texts[i]
         word = text[1:] if text[:1] == " " else text
         if word.isalpha():
             continue
@@ -82,27 +87,48 @@ class UnitStore:
         self.used += total
         self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
 
-    def index(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the numbers of its units, in order."""
+    def index(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the units of all texts one after the other, and how many units each text has."""
         lists = [text.split(" ") for text in texts]
         for units in lists:
             units[0] = FIRST + units[0]
-        wanted = set().union(*lists)
-        new = {k for k in wanted if k not in self.slot}
+        flat = list(chain.from_iterable(lists))
+        got = list(map(self.slot.get, flat))
+        gaps = [i for i, n in enumerate(got) if n is None]
+        new = {flat[i] for i in gaps}
         if unsure := {k for k in new if not _sure(k)}:
             for i, units in enumerate(lists):
                 if not unsure.isdisjoint(units):
                     parts = INNER_SPACE.split(texts[i])
                     lists[i] = [SPLIT_FIRST + parts[0], *(SPLIT_NEXT + p for p in parts[1:])]
-            wanted = set().union(*lists)
-            new = {k for k in wanted if k not in self.slot}
+            flat = list(chain.from_iterable(lists))
+            got = list(map(self.slot.get, flat))
+            gaps = [i for i, n in enumerate(got) if n is None]
+            new = {flat[i] for i in gaps}
         if len(self.slot) + len(new) > self.limit and self.slot:
             self.clear()
-            new = wanted
+            new, gaps = set(flat), range(len(flat))
         if new:
             self._add(list(new))
-        get = self.slot.__getitem__
-        return [np.fromiter(map(get, units), np.int64, len(units)) for units in lists]
+            slot = self.slot
+            for i in gaps:
+                got[i] = slot[flat[i]]
+        return np.array(got, np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the units of all texts one after the other, and how many values each text has."""
+        every, number = self.index(texts)
+        lengths = self.lengths[every]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        stops = np.cumsum(number)
+        return self.flat[spread(self.starts[every], lengths)], ends[stops] - ends[stops - number]
+
+
+def byte_of_letter() -> dict[str, int]:
+    """The usual alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest for U+0100 and on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class IntMap:
