@@ -121,6 +121,9 @@ def identify(
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), named.alias("declared"), suffix.alias("suffix"), host.alias("host"))
     scored = written(rows.mapInArrow(score, f"id {kind}, declared string, suffix string, host string, likely array<double>, best int, letters long"), "scored")
+    if not n:
+        nothing = {"language": F.lit("und"), "posterior": F.lit(0.0), "text_language": F.lit("und")}
+        return scored.select(F.col("id").alias(id_col), *[c.alias(k) for k, c in nothing.items()], "letters", F.lit(False).alias("kept"))
     scored = scored.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
     counted = scored.where("letters > 0")
 
@@ -156,12 +159,12 @@ def identify(
     weighed = weighed.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most"))))
     names = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
     kept = F.coalesce((F.col("letters") > 0) & (F.col("posterior") >= least_posterior), F.lit(False))
-    language = F.element_at(names, F.array_position("logs", F.col("most")).cast("int")) if n else F.lit("und")
+    language = F.element_at(names, F.array_position("logs", F.col("most")).cast("int"))
     return weighed.select(
         F.col("id").alias(id_col),
         F.when(kept, language).otherwise("und").alias("language"),
         F.coalesce("posterior", F.lit(0.0)).alias("posterior"),
-        (F.when(F.col("letters") > 0, F.get(names, F.col("best"))) if n else F.lit("und")).alias("text_language"),
+        F.when(F.col("letters") > 0, F.get(names, F.col("best"))).alias("text_language"),
         "letters",
         kept.alias("kept"),
     )
