@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalog.operators import drift, events, images
+from quantalog.operators import drift, events, images, rules
 from quantalog.sources import estate
 from quantalog.sources.estate import AS_OF, FINDINGS_SQL, pick, pick_sql
 
@@ -181,6 +181,37 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.count("*").alias("n"), F.min("event_id").alias("least")).select("user_id", "n", "least")
 
 
+_PATTERNS = [(n, p, f) for n, p, f in rules.RULES]
+_FIRST = " ".join(f"WHEN regexp_matches(raw, '{p}') THEN '{n}'" for n, p, _ in _PATTERNS)
+_FAMILY = " ".join(f"WHEN '{n}' THEN '{f}'" for n, _, f in _PATTERNS)
+_MATCH = " ".join(f"WHEN '{n}' THEN regexp_extract(raw, '{p}')" for n, p, _ in _PATTERNS)
+RULES_SQL = f"""hits AS (SELECT doc_id AS id, line, rule, CASE rule {_FAMILY} END AS family, CASE rule {_MATCH} END AS match FROM (
+  SELECT doc_id, line, raw, CASE {_FIRST} END AS rule FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)) WHERE rule IS NOT NULL)"""
+
+
+@query(f"WITH {RULES_SQL} SELECT id, CAST(line AS BIGINT) AS line, rule, family, match FROM hits")
+def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matching rule of each line of each document."""
+    return rules.first_matches(estate.table(spark, sf_dir, "documents"), id_col="doc_id")
+
+
+@query(f"""WITH {RULES_SQL}, j AS (SELECT d.lang, d.source, l.toxic = 1 AS truth, h.id IS NOT NULL AS found FROM labels l JOIN documents d USING (doc_id) LEFT JOIN (SELECT DISTINCT id FROM hits) h ON h.id = doc_id),
+c AS (SELECT lang, source, CAST(count_if(truth AND found) AS BIGINT) AS tp, CAST(count_if(NOT truth AND found) AS BIGINT) AS fp, CAST(count_if(truth AND NOT found) AS BIGINT) AS fn FROM j GROUP BY CUBE (lang, source))
+SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
+def label_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well having any rule hit tells toxic documents, by language, source, both and overall."""
+    docs, labels = estate.table(spark, sf_dir, "documents"), estate.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    hits = rules.first_matches(docs, id_col="doc_id").select(F.col("id").alias("doc_id"), F.lit(True).alias("hit")).distinct()
+    judged = labels.join(docs.select("doc_id", "lang", "source"), "doc_id").join(hits, "doc_id", "left")
+    return rules.precision_recall(judged.select("lang", "source", (F.col("toxic") == 1).alias("truth"), F.coalesce("hit", F.lit(False)).alias("found")), ["lang", "source"])
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key of a JSON column."""
+    return estate.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
 def queries() -> dict:
     return {name: run for name, (run, _) in QUERIES.items()}
 
