@@ -1,6 +1,7 @@
 """Removal of word passages that an earlier document has, behind a count-min prefilter.
 
-Every partition counts the anchors of its windows (see sketch.py) in a count-min sketch; the merged sketch overestimates.
+A row whose words are just those of an earlier row is wholly covered (or, below a window, not at all) and needs no windows.
+Of the others, every partition counts the anchors of its windows (see sketch.py) in a count-min sketch; the merged sketch overestimates.
 The second pass groups exactly, by 128-bit hash, only windows estimated to repeat; a unique window may be among them and is
 found unique there, a repeated one is never missing. Each document then learns which of its windows start earlier elsewhere
 and drops the words they cover.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from quantalog.llm.shared import slices, written
 from quantalog.llm.sketch import BASES, anchors, merged_sketch, reaches, rolling, text_bytes, width_for
 
-GRAM = 8
+#: Words of a gram. Long grams seldom outlive an edit, so few windows are taken for repeats that aren't.
+GRAM = 25
 #: Bytes of text for each word, low, to size the sketch.
 WORD_BYTES = 5
 
@@ -65,6 +67,9 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, id_col: st
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("rk"))
+    copies = written(_copies(rows, window), "copies")
+    rest = rows.join(copies, rows.id.eqNullSafe(copies.of) & (rows.rk == copies.of_rk), "left_anti")
     bits = width_for(2 * text_bytes(rows, "text") // (WORD_BYTES * (window - gram + 2)))
 
     def found(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -75,7 +80,7 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, id_col: st
                 own = anchors(codes, window, gram)[start]
                 yield own[np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1]))]  # once for windows in a row
 
-    bitmaps = spark.sparkContext.broadcast(merged_sketch(rows.select("text"), found, bits))
+    bitmaps = spark.sparkContext.broadcast(merged_sketch(rest.select("text"), found, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,30 +98,37 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, id_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[new])), pa.array(one[new]), pa.array(other[new])], ["id", "one", "other"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    seen = written(rows.mapInArrow(suspects, f"id {kind}, one long, other long"), "windows")
+    seen = written(rest.select("id", "text").mapInArrow(suspects, f"id {kind}, one long, other long"), "windows")
     first = seen.groupBy("one", "other").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     later = seen.join(first, ["one", "other"]).where("id is null or id > first")
-    of_row = later.groupBy("id").agg(F.collect_list("one").alias("ones"), F.collect_list("other").alias("others"))
+    marks = later.select("id", "one", "other", F.lit(None).cast("long").alias("copy")).unionByName(
+        copies.select(F.col("of").alias("id"), F.lit(None).cast("long").alias("one"), F.lit(None).cast("long").alias("other"), F.col("of_rk").alias("copy"))
+    )
+    of_row = marks.groupBy("id").agg(F.collect_list("one").alias("ones"), F.collect_list("other").alias("others"), F.collect_set("copy").alias("copies"))
     carried = [f"c{i}" for i in range(len(carry))]
-    texts = df.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, carried, strict=True)])
-    joined = texts.join(of_row, texts.own.eqNullSafe(of_row.id), "left").select("text", "ones", "others", "own", *carried)
+    plain = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    texts = df.select(F.col(id_col).alias("own"), plain.alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, carried, strict=True)])
+    joined = texts.join(of_row, texts.own.eqNullSafe(of_row.id), "left").select("text", "ones", "others", F.array_contains("copies", F.xxhash64("text")).alias("copy"), "own", *carried)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
                 n_words, n_removed, kept = [], [], []
-                for text, ones, others in zip(*(part.column(k) for k in range(3)), strict=True):
+                for text, ones, others, copy in zip(*(part.column(k) for k in range(4)), strict=True):
                     data = text.as_py()
                     words = data.split()
                     gone = 0
-                    if ones.is_valid:
+                    if copy.as_py():
+                        gone = len(words)
+                        kept.append(b"")
+                    elif ones.is_valid and len(ones.values):
                         gone_at = _covered(words, ones.values.to_numpy(), others.values.to_numpy(), window)
                         gone = int(gone_at.sum())
                         kept.append(b" ".join([w for w, g in zip(words, gone_at.tolist(), strict=True) if not g]))
                     else:
                         kept.append(b" ".join(words))
                     n_words.append(len(words)), n_removed.append(gone)
-                columns = [part.column(k) for k in range(3, part.num_columns)]
+                columns = [part.column(k) for k in range(4, part.num_columns)]
                 names = ["own", *carried, "n_words", "n_removed", "kept"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names)
 
@@ -125,6 +137,22 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, id_col: st
     return out.select(F.col("own").alias(id_col), *[F.col(a).alias(c) for c, a in zip(carry, carried, strict=True)], "n_words", "n_removed", "kept")
 
 
+def _copies(rows: DataFrame, window: int) -> DataFrame:
+    """(of, of_rk) of the rows with at least a window of words whose words, one by one, are those of a row with a smaller id."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                words = [t.split() for t in part.column(1).to_pylist()]
+                whole = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(whole, pa.binary()), pa.array([len(w) for w in words], pa.int64())], ["of", "of_rk", "whole", "n"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    every = written(rows.select("id", "text", "rk").mapInArrow(digest, f"of {kind}, of_rk long, whole binary, n long").where(F.col("n") >= window), "wholes")
+    first = every.groupBy("whole").agg(F.min("of").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null").drop("rows")
+    return every.join(first, "whole").where("of is null or of > first").select("of", "of_rk").distinct()
+
+
 def _covered(words: list[bytes], ones: np.ndarray, others: np.ndarray, window: int) -> np.ndarray:
     """Which words lie in a window with one of the hashes."""
     codes = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64)
