@@ -20,7 +20,7 @@ def serial(value: Column) -> Column:
 
 def distinguished_name(value: Column) -> Column:
     """Parts in lower case, without outer spaces, sorted. A part begins at a comma before 'key='."""
-    marked = F.regexp_replace(value, r",\s*([A-Za-z0-9.]+)=", "\n$1=")
+    marked = F.regexp_replace(F.regexp_replace(value, r"\s*=\s*", "="), r"\s*,\s*([A-Za-z0-9.]+)=", "\n$1=")
     return F.array_join(F.sort_array(F.transform(F.split(marked, "\n"), lambda p: F.lower(F.trim(p)))), ",")
 
 
