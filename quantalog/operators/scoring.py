@@ -26,25 +26,30 @@ def classified(findings: DataFrame, algorithms: DataFrame) -> DataFrame:
 
 
 def profiled(assets: DataFrame) -> DataFrame:
-    """The six policy inputs: from the asset class, then confidentiality years from the data class and a floor on sensitivity."""
-    rows = [(k, *map(float, v)) for k, v in K.PROFILES.items()]
-    profile = dimension(assets.sparkSession, rows, "asset_class string, x_c double, x_i double, y double, s double, e double, c double")
-    joined = assets.join(profile, "asset_class", "left")
-    years = lookup({k: float(v) for k, v in K.DATA_CLASS_YEARS.items()}, F.col("data_class"))
-    floor = lookup(K.CRITICALITY_FLOOR, F.col("criticality"))
-    return joined.withColumns({"x_c": F.coalesce(years, F.col("x_c")), "s": F.greatest("s", F.coalesce(floor, F.lit(0.0)))})
+    """The six policy inputs: from the asset class, then confidentiality years from the data class and a floor on sensitivity.
+
+    Horizons depend on the asset class and the data class only, so the curves are worked out on the few hundred pairs of these
+    and come along with the profile; rows just look them up.
+    """
+    years = {"": None, **{k: float(v) for k, v in K.DATA_CLASS_YEARS.items()}}
+    rows = [(k, d, v[0] if t is None else t, *map(float, v[1:])) for k, v in K.PROFILES.items() for d, t in years.items()]
+    profile = assets.sparkSession.createDataFrame(rows, "asset_class string, _data string, x_c double, x_i double, y double, s double, e double, c double")
+    for reading in K.READINGS:
+        profile = profile.withColumns({f"safe_h_{reading}": survival(F.col("x_c") + F.col("y"), reading), f"safe_t_{reading}": survival(F.least("x_i", "y"), reading)})
+    known = F.when(F.col("data_class").isin(*K.DATA_CLASS_YEARS), F.col("data_class")).otherwise("")
+    joined = assets.withColumn("_data", known).join(F.broadcast(profile), ["asset_class", "_data"], "left").drop("_data")
+    return joined.withColumn("s", F.greatest("s", F.coalesce(lookup(K.CRITICALITY_FLOOR, F.col("criticality")), F.lit(0.0))))
 
 
 def scored(assets: DataFrame, w_h: float = 0.5, w_t: float = 0.5) -> DataFrame:
-    """Harvest-now and trust-now exposure, their composite, and its band under the outer curves."""
+    """Harvest-now and trust-now exposure, their composite, and its band under the outer curves; of profiled assets."""
     real = F.col("quantum_vulnerable")
-    on_h, on_t = F.col("x_c") + F.col("y"), F.least("x_i", "y")
 
     def axis_h(reading: str) -> Column:
-        return F.col("s") * F.col("e") * (1 - survival(on_h, reading))
+        return F.col("s") * F.col("e") * (1 - F.col(f"safe_h_{reading}"))
 
     def axis_t(reading: str) -> Column:
-        return F.col("c") * (1 - survival(on_t, reading))
+        return F.col("c") * (1 - F.col(f"safe_t_{reading}"))
 
     def exact(score: str, weight: float) -> Column:
         """In decimals, so that a half at the seventh place rounds alike everywhere."""
