@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quantalog.llm import exact_dedup, simhash, sketch, substring_dedup, suffix_dedup
+from quantalog.llm import exact_dedup, simhash, simhash_wide, sketch, substring_dedup, suffix_dedup
 from tests.llm.helpers import LOWER, TEXTS, documents, prose, words
 
 
@@ -183,3 +183,32 @@ def test_sketch_never_counts_too_low(spark):
     found = sketch.reaches(bitmaps, sketch.mix(keys), 16)
     assert all(found[k] for k, v in enumerate(keys.tolist()) if counts[v] >= 14)
     assert sum(found[k] for k, v in enumerate(keys.tolist()) if counts[v] < 14) < 5
+
+
+def shingle_set(text, n=5):
+    w = words((text or "").translate(LOWER))
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or {" ".join(w)}
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_similar_documents(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash_wide, "BUCKET", bucket)
+    texts = [(i, t) for i, t in TEXTS if i is not None and i != 14]
+    for g, edits in enumerate((1, 4, 9, 40)):  # the similarity to the first falls from 0.98 to none
+        base = prose(60 + g, 400).split()
+        for k in range(12):
+            edited = list(base)
+            for e in range(edits if k else 0):
+                edited[(k * 31 + e * 43) % 400] = f"edit{k}x{e}"
+            texts.append((100 + 20 * g + k, " ".join(edited)))
+    rows = {r.doc_id: r.component_id for r in simhash_wide.similar_documents(documents(spark, texts)).collect()}
+    sets = [shingle_set(t) for _, t in texts]
+    least = {i: i for i, _ in texts}
+    for _ in range(3):
+        for a, (i, _) in enumerate(texts):
+            for b, (j, _) in enumerate(texts[:a]):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[i] = least[j] = min(least[i], least[j])
+    assert {i: (c, least[i]) for i, c in rows.items() if c != least[i]} == {}
+    assert simhash_wide.similar_documents(documents(spark, [])).count() == 0
+    assert simhash_wide.similar_documents(documents(spark)).count() == len(TEXTS)
