@@ -212,3 +212,22 @@ def test_similar_documents(spark, monkeypatch, bucket):
     assert {i: (c, least[i]) for i, c in rows.items() if c != least[i]} == {}
     assert simhash_wide.similar_documents(documents(spark, [])).count() == 0
     assert simhash_wide.similar_documents(documents(spark)).count() == len(TEXTS)
+
+
+def linked(spark, texts):
+    return {r.doc_id: r.component_id for r in simhash_wide.similar_documents(documents(spark, texts)).collect()}
+
+
+def test_similar_clusters_in_a_crowd(spark, monkeypatch):
+    """Two clusters of close copies, and just one of each that reach 0.8 together: that link joins the clusters."""
+    monkeypatch.setattr(simhash_wide, "BUCKET", 2)
+    texts = []
+    for g in range(12):
+        base = prose(500 + g, 400).split()
+        for k in range(24):
+            edits = {5 + 40 * (k % 2) + 10 * e: f"side{g}x{k % 2}x{e}" for e in range(4)} | ({100 + 12 * k: f"own{g}x{k}"} if k > 1 else {})
+            texts.append((100 * g + 23 - k, " ".join(edits.get(i, w) for i, w in enumerate(base))))
+    sets = {i: shingle_set(t) for i, t in texts}
+    reach = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert [(i, j) for i in range(0, 24, 2) for j in range(1, 24, 2) if reach(i, j)] == [(22, 23)]
+    assert linked(spark, texts) == {i: i // 100 * 100 for i, _ in texts}
