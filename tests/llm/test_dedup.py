@@ -218,6 +218,15 @@ def linked(spark, texts):
     return {r.doc_id: r.component_id for r in simhash_wide.similar_documents(documents(spark, texts)).collect()}
 
 
+def test_similar_short_documents(spark):
+    """Eight words and the same with one more share 4 of 5 shingles: just 0.8, and not one of the pairs may be missed."""
+    texts = []
+    for k in range(300):
+        base = " ".join(f"{w}{k}x{i}" for i, w in enumerate(prose(300 + k, 8).split()))
+        texts += [(2 * k, base), (2 * k + 1, f"{base} more{k}")]
+    assert linked(spark, texts) == {i: i // 2 * 2 for i, _ in texts}
+
+
 def test_similar_clusters_in_a_crowd(spark, monkeypatch):
     """Two clusters of close copies, and just one of each that reach 0.8 together: that link joins the clusters."""
     monkeypatch.setattr(simhash_wide, "BUCKET", 2)
