@@ -240,3 +240,17 @@ def test_similar_clusters_in_a_crowd(spark, monkeypatch):
     reach = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     assert [(i, j) for i in range(0, 24, 2) for j in range(1, 24, 2) if reach(i, j)] == [(22, 23)]
     assert linked(spark, texts) == {i: i // 100 * 100 for i, _ in texts}
+
+
+def test_similar_large_group(spark, monkeypatch):
+    """Of a group of near copies the sets that are compared grow with its members, not with its pairs."""
+    compared, confirmed = [], simhash_wide._confirmed
+    monkeypatch.setattr(simhash_wide, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirmed(pairs, *rest))
+    base, texts = prose(78, 300).split(), []
+    for k in range(500):
+        edited = list(base)
+        for e in range(3):
+            edited[(k * 31 + e * 97) % 300] = f"edit{k}x{e}"
+        texts.append((k, " ".join(edited)))
+    assert linked(spark, texts) == dict.fromkeys(range(500), 0)
+    assert sum(compared) <= 5 * len(texts)
