@@ -69,15 +69,15 @@ both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM r JOIN both_ways w ON r.b = w.a)
 SELECT a AS id, min(b) AS component FROM r GROUP BY a""")
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that share a typed key, transitively."""
-    orders = estate.table(spark, sf_dir, "orders")
-    div = lambda c, n: F.floor(F.col(c) / n).cast("string")
-    keys = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("c").alias("kind"), div("o_custkey", 3).alias("value"))
-    more = orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.lit("d").alias("kind"), div("o_orderkey", 40).alias("value"))
-    return joins.identity_components(keys.unionByName(more))
+    """Records that share a typed key, transitively; every order has both keys, and one without a partner is its own component."""
+    orders = estate.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    key = lambda kind, c, n: orders.select("id", F.lit(kind).alias("kind"), F.floor(F.col(c) / n).cast("string").alias("value"))
+    found = joins.identity_components(key("c", "o_custkey", 3).unionByName(key("d", "id", 40)))
+    return orders.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-QUERIES["identity_components"] = (identity_components, None)  # the recursive SQL takes too long on whole tables; tested against union-find
+# The recursive SQL takes too long on whole tables, so it isn't registered; it has keys on a part of the orders only. Tested against union-find.
+QUERIES["identity_components"] = (identity_components, None)
 
 
 @query("""WITH f AS (SELECT DISTINCT c_nationkey AS subject, c_custkey AS id FROM customer),

@@ -8,6 +8,7 @@ from quantalog.functions import text
 from quantalog.functions.curve import slopes, survival
 from quantalog.functions.constants import ANCHOR_YEARS, ARRIVAL
 from quantalog.operators import certify, components, drift, events, graph, images, intake, joins, rules, scoring, sensitivity
+from quantalog.plans import evidence
 from quantalog.sources import exports, inputs
 
 
@@ -76,6 +77,24 @@ def test_identity(spark):
     assert dict(rows(got, "id", "component")) == {"a": "a", "b": "a", "c": "a"}
 
 
+def test_identity_of_all_orders(spark):
+    sf = "/root/testdata/sf0.001"
+    orders = [tuple(r) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()]
+    least, first = {i: i for i, _ in orders}, {}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, c in orders:
+        for key in [*([("c", c // 3)] if c is not None else []), ("d", i // 40)]:
+            x, y = sorted((root(first.setdefault(key, i)), root(i)))
+            least[y] = x
+    got = rows(evidence.identity_components(spark, sf), "id", "component")
+    assert got == sorted((i, root(i)) for i in least)
+
+
 @pytest.mark.parametrize(
     ("edges", "depth", "cycle"),
     [
