@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding on length-bucketed matrices.
 
-Units (see units.py) that a worker has not met before are laid out as rows of padded matrices, one per length bucket; pairs
-across two pieces (matches of the split pattern) never merge. Every round each row merges its leftmost pair of least rank; pairs are looked up by hash for the whole
+Units (see units.py) that a worker has not met before, and the pieces (matches of the split pattern) of long units, are laid
+out as rows of padded matrices, one per length bucket; pairs across two pieces never merge. Every round each row merges its leftmost pair of least rank; pairs are looked up by hash for the whole
 matrix, rows without a mergeable pair leave, and the rest close up by one column.
 """
 
@@ -25,8 +25,9 @@ from quantalog.llm.units import IntMap, UnitStore, piece_starts
 NONE = np.int32(np.iinfo(np.int32).max)
 #: No token id: fills rows up; is added to an id where a piece begins.
 PAD, OPENS = np.int32(1 << 29), np.int32(1 << 30)
-#: Longer pieces (bytes) are merged with a heap, which takes n log n steps where a matrix takes n rounds.
-LONGEST_ROW = 256
+#: Longer units (bytes) are cut into their pieces, a row for each. A piece of over LONGEST_PIECE bytes, without a space or a change of
+#: kind in all of it, is merged with a heap: that takes n log n steps where its row would take n rounds over n columns.
+LONGEST_ROW, LONGEST_PIECE = 256, 1024
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -105,15 +106,27 @@ class RankEncoder:
                 heapq.heappush(heap, (s, h))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def _long_unit(self, text: str) -> np.ndarray:
-        pieces = [p.encode() for p in self.pattern.findall(text)]
-        return np.concatenate([np.array([self.ranks[p]], np.int32) if p in self.ranks else self.merge_long(p) for p in pieces])
-
     def encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
+        long = {i: self.pattern.findall(t) for i, t in enumerate(texts) if len(t) * 4 > LONGEST_ROW and len(t.encode()) > LONGEST_ROW}
+        if not long:
+            return self._rows(texts, len(texts))
+        short = [t for i, t in enumerate(texts) if i not in long]
+        pieces = list(dict.fromkeys(p for found in long.values() for p in found))
+        values, lengths = self._rows(short + pieces, len(short))
+        number, nth = dict(zip(pieces, range(len(short), len(short) + len(pieces)), strict=True)), iter(range(len(short)))
+        rows = [[number[p] for p in long[i]] if i in long else [next(nth)] for i in range(len(texts))]
+        every = np.fromiter((r for x in rows for r in x), np.int64)
+        starts, own = np.cumsum(lengths) - lengths, lengths[every]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])
+        stops = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        return values[spread(starts[every], own)], np.diff(np.concatenate([np.zeros(1, np.int64), ends[stops]]))
+
+    def _rows(self, texts: list[str], units: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_units. The first `units` texts may fall into pieces; the others are one piece each."""
         data = [t.encode() for t in texts]
         sizes = np.fromiter(map(len, data), np.int64, len(data))
-        which, offsets = piece_starts([t if n <= LONGEST_ROW else "" for t, n in zip(texts, sizes.tolist(), strict=True)], data, self.pattern.findall)
+        which, offsets = piece_starts(texts[:units], data, self.pattern.findall)
         width = np.where(sizes <= 24, sizes, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         lengths, found = np.zeros(len(texts), np.int64), []
         order = np.argsort(width, kind="stable")
@@ -123,20 +136,22 @@ class RankEncoder:
             w = int(width[members[0]]) if len(members) else 0
             if w == 0:
                 continue
-            if w > LONGEST_ROW:
+            if w > LONGEST_PIECE:
                 for i in members.tolist():
-                    ids = self._long_unit(texts[i])
+                    ids = self.merge_long(data[i])
                     lengths[i] = len(ids)
                     found.append((np.array([i]), ids[None, :]))
                 continue
-            raw = np.frombuffer(b"".join([data[i].ljust(w, b"\0") for i in members.tolist()]), np.uint8).reshape(len(members), w)
-            ids = np.where(np.arange(w) < sizes[members][:, None], self.byte_ids[raw], PAD)
             row_of[members] = np.arange(len(members))
-            here = width[which] == w
-            ids[row_of[which[here]], offsets[here]] |= OPENS
-            for first in range(0, len(members), step := max(1, (1 << 20) // w)):
+            here = np.flatnonzero(width[which] == w)
+            row, column = row_of[which[here]], offsets[here]
+            for first in range(0, len(members), step := max(1, (1 << 18) // w)):
                 part = members[first : first + step]
-                merged, lengths[part] = self.merge_rows(ids[first : first + step])
+                raw = np.frombuffer(b"".join([data[i].ljust(w, b"\0") for i in part.tolist()]), np.uint8).reshape(len(part), w)
+                ids = np.where(np.arange(w) < sizes[part][:, None], self.byte_ids[raw], PAD)
+                mine = (row >= first) & (row < first + step)
+                ids[row[mine] - first, column[mine]] |= OPENS
+                merged, lengths[part] = self.merge_rows(ids)
                 found.append((part, merged))
         starts = np.cumsum(lengths) - lengths
         flat = np.zeros(int(lengths.sum()), np.int32)

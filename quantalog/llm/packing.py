@@ -1,12 +1,12 @@
 """Mixture-controlled packing of documents into training windows.
 
-Each source is a queue of tokens. Deficit round-robin serves the queues by quanta of QUANTUM tokens: every queue is owed its
-share of each window, is served when it is owed half a quantum more than it has had, and carries the rest to the next window.
-So the k-th of a queue's m quanta is due at the time (2k + 1) / 2m, and the windows are filled in order of due time. That
-has a closed form: how many tokens of each queue lie before a point of time is arithmetic, and the time at which so many
-windows are full is found by bisection. Deficits are thus carried across windows and partitions without a sequential pass:
-each task places its own tokens, given how many of their queue come before them. A queue that runs dry ends a phase; the
-others share what follows.
+Each source is a queue of tokens (small sources share queues where there are very many). Deficit round-robin serves the queues
+by quanta of QUANTUM tokens: in every round each queue's deficit grows by its share, a queue that is owed more than half a
+quantum beyond what it has had is served one, and the rest is carried to the next round, over windows and partitions. That has
+a closed form: by the end of a round, how many quanta of each queue have been served is arithmetic, and the round in which so
+many windows are full is found by bisection. So there is no sequential pass: each task places its own tokens, given how many
+of their queue come before them. It looks at the windows that its own quanta fall in, and at no others. A queue that runs dry
+ends a phase; the others share what follows.
 """
 
 from __future__ import annotations
@@ -33,8 +33,11 @@ from quantalog.llm.units import IntMap, UnitStore, byte_of_letter
 QUANTUM = 64
 #: The tokens of so many (block, source) counts are sent to every executor (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Queues are counted on the driver, a name and a number each.
-MOST_SOURCES = 1_000_000
+#: Sources with a queue of their own, the largest ones; the others share POOLS queues by a hash of their names. A source beyond the
+#: largest 768 has less than a 768th of the tokens, a window's share of one or two tokens at most.
+OWN_QUEUES, POOLS = 768, 256
+#: Numbers of a matrix (windows or quanta by queues) that are worked out at once.
+ROWS = 1 << 18
 
 
 class LibraryEncoder(RankEncoder):
@@ -108,26 +111,18 @@ class Mixture:
 
     def _served(self, take: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Tokens of each queue among the first b tokens of a phase; a row for each b."""
-        size, q = int(take.sum()), self.quantum
-        quanta = -(-take // q)
-        bits = max(4, (16 * max(1, size // q)).bit_length())
-        kind = object if bits + 2 + int(quanta.max()).bit_length() > 62 else np.int64
-        times, quanta = 1 << bits, quanta.astype(kind)
-
-        def upto(time: np.ndarray) -> np.ndarray:
-            done = ((time[:, None] + 1) * 2 * quanta - 1) // times
-            return np.minimum(np.maximum((done + 1) // 2, 0) * q, take).astype(np.int64)
-
-        slack = q * (len(take) + 2)
+        size = int(take.sum())
+        _, times, kind = self._rounds(take)
+        slack = self.quantum * (len(take) + 2)
         guess = lambda x: np.clip(x / size * times, 0, times - 1).astype(np.int64).astype(kind)
         low, high = guess(b.astype(float) - slack) - 2, guess(b.astype(float) + slack) + 2
         low, high = np.maximum(low, 0), np.minimum(high, times - 1)
-        while (low < high).any():  # the first time at which b tokens are due
+        while (low < high).any():  # the first round by which b tokens are due
             middle = (low + high) // 2
-            enough = upto(middle).sum(1) >= b
+            enough = self._upto(take, middle).sum(1) >= b
             low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
-        before, after = upto(low - 1), upto(low)
-        own = after - before  # due at the same time: queue by queue
+        before, after = self._upto(take, low - 1), self._upto(take, low)
+        own = after - before  # due in the same round: queue by queue
         return before + np.clip((b - before.sum(1))[:, None] - (np.cumsum(own, 1) - own), 0, own)
 
     def served(self, b: np.ndarray) -> np.ndarray:
@@ -144,24 +139,59 @@ class Mixture:
         """Tokens of all in the sequences before each given one."""
         return np.where(sequence <= self.full, sequence * self.window, self.tail[np.clip(sequence - self.full, 0, len(self.tail) - 1)])
 
-    def sequence_of(self, queue: int, token: int) -> int:
-        """The sequence that holds a token of a queue."""
-        low, high = 0, self.last
-        while low < high:
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if self.served(self.ends(np.array([middle])))[0, queue] <= token else (low, middle - 1)
-        return low
+    def sequence_of(self, position: np.ndarray) -> np.ndarray:
+        """The sequence that holds each token, by its number among all."""
+        late = self.full + np.searchsorted(self.tail, position, "right") - 1
+        return np.where(position < self.full * self.window, position // self.window, np.minimum(late, self.last))
 
-    def place(self, source: str, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _rounds(self, take: np.ndarray) -> tuple[np.ndarray, int, type]:
+        """Quanta of each queue in a phase, the rounds of the phase, and a type of numbers that holds their products."""
+        quanta = -(-take // self.quantum)
+        bits = max(4, (16 * max(1, int(take.sum()) // self.quantum)).bit_length())
+        kind = object if bits + 2 + int(quanta.max()).bit_length() > 62 else np.int64
+        return quanta.astype(kind), 1 << bits, kind
+
+    def _upto(self, take: np.ndarray, time: np.ndarray) -> np.ndarray:
+        """Tokens of each queue that are due by the end of each round."""
+        quanta, times, _ = self._rounds(take)
+        done = ((time[:, None] + 1) * 2 * quanta - 1) // times
+        return np.minimum(np.maximum((done + 1) // 2, 0) * self.quantum, take).astype(np.int64)
+
+    def touched(self, queue: int, low: int, high: int) -> np.ndarray:
+        """The sequences that hold tokens low to high (exclusive) of a queue: those of its own quanta, worked out from each one's round."""
+        found, had = [], 0
+        for at, take in self.phases:
+            own = int(take[queue])
+            a, b = max(low - had, 0), min(high - had, own)
+            had += own
+            if a >= b:
+                continue
+            quanta, times, kind = self._rounds(take)
+            for first in range(a // self.quantum, -(-b // self.quantum), step := max(1, ROWS // len(take))):
+                k = np.arange(first, min(first + step, -(-b // self.quantum))).astype(kind)
+                time = -((-((2 * k + 1) * times + 1)) // (2 * quanta[queue])) - 1
+                before, after = self._upto(take, time - 1), self._upto(take, time)
+                start = at + before.sum(1) + (after - before)[:, :queue].sum(1) + k.astype(np.int64) * self.quantum - before[:, queue]
+                end = start + np.minimum(self.quantum, own - k.astype(np.int64) * self.quantum) - 1
+                found += [self.sequence_of(start), self.sequence_of(end)]
+        every = np.unique(np.concatenate(found))
+        return np.unique(np.concatenate([every, np.arange(self.full, self.last + 1)])) if every[-1] >= self.full else every
+
+    def place(self, queue: str, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Documents that follow each other in a queue, from token first[0] on: document number, start, length, sequence, offset of each piece."""
-        queue, low, high = self.number[source], int(first[0]), int(first[-1] + size[-1])
-        one, other = self.sequence_of(queue, low), self.sequence_of(queue, high - 1)
-        had = self.served(self.ends(np.arange(one, other + 2)))
-        edge, ahead = had[:, queue], had[:, :queue].sum(1)
+        queue, low, high = self.number[queue], int(first[0]), int(first[-1] + size[-1])
+        sequence = self.touched(queue, low, high)
+        edge, stop, ahead = (np.empty(len(sequence), np.int64) for _ in range(3))
+        for a in range(0, len(sequence), step := max(1, ROWS // len(self.names))):
+            part = slice(a, a + step)
+            had, then = self.served(self.ends(sequence[part])), self.served(self.ends(sequence[part] + 1))
+            edge[part], stop[part], ahead[part] = had[:, queue], then[:, queue], (then - had)[:, :queue].sum(1)
+        some = stop > edge
+        sequence, edge, ahead = sequence[some], edge[some], ahead[some]
         cut = np.unique(np.concatenate([first, edge[(edge > low) & (edge < high)]]))
         document = np.searchsorted(first, cut, "right") - 1
         at = np.searchsorted(edge, cut, "right") - 1
-        return document, cut - first[document], np.diff(np.append(cut, high)), one + at, ahead[at + 1] - ahead[at] + cut - edge[at]
+        return document, cut - first[document], np.diff(np.append(cut, high)), sequence[at], ahead[at] + cut - edge[at]
 
 
 @lru_cache(maxsize=2)
@@ -217,23 +247,25 @@ def pack(
     row by row; an empty table gives no pieces; other columns are ignored.
     """
     table = written(tokenised(df, path, end_id, id_col, text_col, source_col), "tokens")
-    blocks = table.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
-    blocks = written(blocks.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")), "blocks")
-    totals = {r.source: int(r.n) for r in blocks.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    blocks = written(table.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")), "counts")
+    largest = blocks.groupBy("source").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "source").limit(OWN_QUEUES).select("source", F.lit(True).alias("own"))
+    named = blocks.join(F.broadcast(largest), "source", "left")  # OWN_QUEUES rows
+    pool = F.concat(F.lit("\0"), F.pmod(F.xxhash64("source"), F.lit(POOLS)).cast("string"))
+    queued = named.select("source", "block", "n", F.when(F.col("own"), F.col("source")).otherwise(pool).alias("queue"))
+    blocks = written(queued.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("block", "source")) - F.col("n")), "blocks")
+    totals = {r.queue: int(r.n) for r in blocks.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # OWN_QUEUES + POOLS at most
     mixture = Mixture(totals, weights, window)
-    base = blocks.select("source", "block", "base")
+    base = blocks.select("source", "block", "queue", "base")
     if base.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
-    rows = table.join(base, ["source", "block"]).select("id", "source", (F.col("base") + F.col("before")).alias("first"), "n_tokens", "ids")
+    rows = table.join(base, ["source", "block"]).select("id", "source", (F.col("base") + F.col("before")).alias("first"), "n_tokens", "ids", "queue")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_type(path)
         for batch in batches:
-            for part in slices(batch, 4, 4 * SLICE_BYTES):
-                source = part.column(1).dictionary_encode()
-                names, code = source.dictionary.to_pylist(), source.indices.to_numpy(zero_copy_only=False)
+            for part in slices(batch, 4, 2 * SLICE_BYTES):
+                queue = part.column(5).dictionary_encode()
+                names, code = queue.dictionary.to_pylist(), queue.indices.to_numpy(zero_copy_only=False)
                 first, size = part.column(2).to_numpy(), part.column(3).to_numpy()
                 order = np.lexsort([first, code])
                 follows = np.append(False, (code[order][1:] == code[order][:-1]) & (first[order][1:] == (first + size)[order][:-1]))

@@ -59,11 +59,11 @@ def piece_starts(texts: list[str], data: list[bytes], find: Callable[[str], list
 class UnitStore:
     """For each unit an integer array, worked out in bulk by `fill(texts) -> (values, lengths)`, held in one flat array.
 
-    At most `limit` units are held; when more would be, the store is emptied. That costs time and changes no result.
+    Beyond `limit` units or `most` values the store is emptied before more go in. That costs time and changes no result.
     """
 
-    def __init__(self, fill: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 500_000):
-        self.fill, self.dtype, self.limit = fill, dtype, limit
+    def __init__(self, fill: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 100_000, most: int = 1 << 21):
+        self.fill, self.dtype, self.limit, self.most = fill, dtype, limit, most
         self.clear()
 
     def clear(self) -> None:
@@ -105,7 +105,7 @@ class UnitStore:
             got = list(map(self.slot.get, flat))
             gaps = [i for i, n in enumerate(got) if n is None]
             new = {flat[i] for i in gaps}
-        if len(self.slot) + len(new) > self.limit and self.slot:
+        if self.slot and (len(self.slot) + len(new) > self.limit or self.used > self.most):
             self.clear()
             new, gaps = set(flat), range(len(flat))
         if new:

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -35,7 +37,7 @@ def ids_of(library, text):
 
 
 def test_counts_of_rows(spark, library):
-    rows = token_counts.prefix_token_counts(documents(spark), JSON, budgets=(4, 512)).collect()
+    rows = token_counts.budget_answers(token_counts.prefix_token_counts(documents(spark), JSON), budgets=(4, 512)).collect()
     assert sorted((r.n_bytes, r.n_tokens) for r in rows) == sorted((len((t or "").encode()), len(ids_of(library, t))) for _, t in TEXTS)
     by_id = {r.doc_id: r for r in rows}
     for i, text in TEXTS:
@@ -43,17 +45,41 @@ def test_counts_of_rows(spark, library):
             for budget, cut in zip((4, 512), by_id[i].cut_bytes, strict=True):
                 fits = [len(text[:n].encode()) for n in range(1, min(len(text), 700) + 1) if len(ids_of(library, text[:n])) <= budget]
                 assert len(text) > 700 or cut == max(fits, default=0)
-    assert token_counts.prefix_token_counts(documents(spark, []), JSON).count() == 0
+    assert token_counts.budget_answers(token_counts.prefix_token_counts(documents(spark, []), JSON), (1,)).count() == 0
 
 
 def test_every_prefix(spark, library):
     texts = [t for _, t in TEXTS if t and len(t) < 400] + ["foo!<|endoftext|> 're'rest  \n 'll", "a \t b  c ", "\x1c \x1f \x85"]
-    rows = token_counts.prefix_token_counts(documents(spark, list(enumerate(texts))), JSON, store=True).collect()
+    rows = token_counts.prefix_token_counts(documents(spark, list(enumerate(texts))), JSON).collect()
     for r in rows:
-        text, counts = texts[r.doc_id], np.frombuffer(r.prefix_counts, "<i4")
-        assert len(counts) == len(text.encode())
-        for n in range(1, len(text) + 1):
-            assert counts[len(text[:n].encode()) - 1] == len(ids_of(library, text[:n])), text[:n]
+        text = texts[r.doc_id]
+        ends, counts = token_counts.prefix_counts_of(r.prefix_steps, r.n_bytes)
+        assert ends.tolist() == [len(text[:n].encode()) for n in range(1, len(text) + 1)]
+        assert counts.tolist() == [len(ids_of(library, text[:n])) for n in range(1, len(text) + 1)], text
+
+
+HOSTILE = {
+    "no spaces": "日本語の文章。" * 50_000,
+    "one piece": "ab" * 500_000,
+    "dashes": "-=" * 100_000 + "-" * 300_000,
+    "special strings": "x<|endoftext|>" * 10_000,
+    "special strings and spaces": " \n <|endoftext|>  y" * 4_000,
+    "blank lines": "".join(f"w{i}\n\n \n" for i in range(60_000)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_texts(library, ranks, name):
+    """Long texts of the kinds that fall apart badly: whole counts as the library gives them, prefixes too, in seconds."""
+    text = HOSTILE[name]
+    started = time.time()
+    counts, _ = token_counts.counter(JSON).prefix_counts([text])
+    assert time.time() - started < 60
+    assert counts[-1] == len(ids_of(library, text))
+    for n in (1, 7, 333, 2_000, 9_999):
+        assert counts[len(text[:n].encode()) - 1] == len(ids_of(library, text[:n])), n
+    short = text[:200_000]
+    assert bpe.encoder(MULTI).encode([short])[0].tolist() == ranks.encode_ordinary(short)
 
 
 @settings(max_examples=150, deadline=None)
@@ -111,6 +137,57 @@ def test_packing(spark, library, weights):
     assert packing.pack(documents(spark, []), JSON).count() == 0
 
 
+def round_robin(totals, quantum):
+    """Plain deficit round-robin: (queue, token) in the order served."""
+    left, size = list(totals.values()), sum(totals.values())
+    turns = [-(-x // quantum) for x in left]
+    rounds = 1 << max(4, (16 * max(1, size // quantum)).bit_length())
+    deficit, had, order = [rounds] * len(left), [0] * len(left), []
+    for _ in range(rounds):
+        for j, most in enumerate(left):
+            deficit[j] += 2 * turns[j]
+            while deficit[j] > 2 * rounds and had[j] < most:
+                n = min(quantum, most - had[j])
+                order += [(j, had[j] + x) for x in range(n)]
+                had[j] += n
+                deficit[j] -= 2 * rounds
+    return order
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_places_are_those_of_round_robin(seed):
+    rng = np.random.default_rng(seed)
+    totals = {f"s{i}": int(rng.integers(1, 2500)) for i in range(rng.integers(1, 5))}
+    mixture, order, windows, want = packing.Mixture(totals, None, 64, 16), round_robin(totals, 16), defaultdict(list), {}
+    assert len(order) == sum(totals.values())
+    for g, token in enumerate(order):
+        windows[int(mixture.sequence_of(np.array([g]))[0])].append(token)
+    for w, tokens in windows.items():  # within a window queue by queue
+        want.update({token: (w, offset) for offset, token in enumerate(sorted(tokens))})
+    got = {}
+    for j, name in enumerate(totals):
+        first = np.unique(np.concatenate([[0], rng.integers(0, totals[name], 3)]))
+        for document, start, length, sequence, offset in zip(*mixture.place(name, first, np.diff(np.append(first, totals[name]))), strict=True):
+            got.update({(j, int(first[document] + start + x)): (int(sequence), int(offset + x)) for x in range(length)})
+    assert got == want
+
+
+def test_small_source_beside_a_huge_one():
+    mixture = packing.Mixture({"large": 10**11, "small": 100_000}, None, 1024)
+    tracemalloc.start()
+    document, start, length, sequence, _ = mixture.place("small", np.array([0, 50_000]), np.array([50_000, 50_000]))
+    assert tracemalloc.get_traced_memory()[1] < 1 << 24
+    tracemalloc.stop()
+    assert length.sum() == 100_000 and np.abs(np.diff(np.unique(sequence)) / (10**11 / 1024 / 1563) - 1).max() < 0.1
+
+
+def test_many_sources_share_queues(spark, monkeypatch, library):
+    monkeypatch.setattr(packing, "OWN_QUEUES", 3)
+    df = documents(spark, [(i, "some words here") for i in range(300)]).withColumn("source", F.concat(F.lit("host"), F.col("doc_id")))
+    rows = packing.pack(df, JSON, window=64).collect()
+    assert sum(r.length for r in rows) == 300 * 4 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 def test_mixture_keeps_proportions():
     mixture = packing.Mixture({"a": 70_000, "b": 20_000, "c": 9_990, "d": 10}, None, 1000, quantum=10)
     had = mixture.served(np.arange(0, 100_001, 1000))
