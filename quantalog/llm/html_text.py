@@ -7,9 +7,10 @@ recursion, so depth of nesting does no harm.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from quantalog.llm.shared import slices
 
-TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/][^>]*)>)")
+MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+EDGE = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -46,6 +48,41 @@ HIDING = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
 
 
+#: Levels of nesting that indent a line; deeper ones stand as far to the right as this.
+DEEPEST = 40
+
+
+class Tags:
+    """Where tags end. What was looked for in vain isn't looked for again, so malformed pages take linear time."""
+
+    def __init__(self, html: str):
+        self.html, self.gone = html, set()
+
+    def find(self, what: str, at: int) -> int:
+        found = -1 if what in self.gone else self.html.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """The '>' of the tag that `at` is in, outside quoted values (a quote that nothing closes is no quote); -1: there is none."""
+        while ">" not in self.gone:
+            edge = EDGE.search(self.html, at)
+            if edge is None:
+                self.gone.add(">")
+            elif edge[0] == ">":
+                return edge.start()
+            else:
+                closed = self.find(edge[0], edge.end())
+                at = closed + 1 if closed >= 0 else edge.end()
+        return -1
+
+
+def columns_of(text: str) -> int:
+    """Columns that a text takes: East Asian wide characters take two, combining ones none."""
+    return len(text) if text.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
 class Flow:
     """Lines of one block container, with pending inline text."""
 
@@ -66,7 +103,7 @@ class Flow:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        indent = "".join(self.prefixes)
+        indent = "".join(self.prefixes[:DEEPEST])
         if self.mark:
             indent = indent[: max(0, len(indent) - len(self.mark))] + self.mark
             self.mark = ""
@@ -88,30 +125,28 @@ class Grid:
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []  # column, columns spanned, lines
-        self.held: dict[int, int] = {}  # column -> rows that a cell above still takes
+        self.held: dict[int, tuple[int, int]] = {}  # first column of a cell above -> column after it, last row that it takes
         self.row: list[tuple[int, int, list[str]]] | None = None
+        self.column = 0  # the first that may be free in this row
 
     def open_row(self) -> None:
         self.close_row()
-        self.row = []
+        self.row, self.column = [], 0
 
     def close_row(self) -> None:
         if self.row is not None:
             self.rows.append(self.row)
             self.row = None
-            self.held = {c: n - 1 for c, n in self.held.items() if n > 1}
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
         if self.row is None:
-            self.row = []
-        taken = {c + i for c, n, _ in self.row for i in range(n)} | self.held.keys()
-        column = 0
-        while column in taken:
-            column += 1
-        self.row.append((column, across, lines))
+            self.row, self.column = [], 0
+        while (over := self.held.get(self.column)) and over[1] >= len(self.rows):
+            self.column = over[0]
+        self.row.append((self.column, across, lines))
         if down > 1:
-            for i in range(across):
-                self.held[column + i] = down
+            self.held[self.column] = (self.column + across, len(self.rows) + down - 1)
+        self.column += across
 
     def laid_out(self) -> list[str]:
         self.close_row()
@@ -119,24 +154,24 @@ class Grid:
         for row in self.rows:
             for column, across, lines in row:
                 if across == 1:
-                    width[column] = max(width.get(column, 0), max(map(len, lines), default=0))
+                    width[column] = max(width.get(column, 0), max(map(columns_of, lines), default=0))
         for row in self.rows:
             for column, across, lines in row:
                 if across > 1:
                     have = sum(width.get(column + i, 0) for i in range(across)) + 2 * (across - 1)
                     last = column + across - 1
-                    width[last] = width.get(last, 0) + max(0, max(map(len, lines), default=0) - have)
+                    width[last] = width.get(last, 0) + max(0, max(map(columns_of, lines), default=0) - have)
         left, at = {}, 0
         for column in range(max(width, default=-1) + 1):
             left[column] = at
-            at += width.get(column, 0) + 2
+            at += width[column] + 2 if width.get(column) else 0  # a column without text of its own takes no room
         out = []
         for row in self.rows:
             for i in range(max((len(lines) for _, _, lines in row), default=0)):
                 line = ""
                 for column, _, lines in row:
                     if i < len(lines):
-                        line = line.ljust(left.get(column, at)) + lines[i]
+                        line += " " * (left.get(column, at) - columns_of(line)) + lines[i]
                 out.append(line.rstrip())
         return out
 
@@ -154,6 +189,7 @@ class Renderer:
         self.grid: Grid | None = None
         self.lists: list[list] = []  # number of the next item (None: bullets), step
         self.pre = 0
+        self.flat = 0  # tables open below DEEPEST levels of tables; their rows and cells are lines
 
     def text(self, data: str) -> None:
         if self.pre:
@@ -175,7 +211,10 @@ class Renderer:
 
     def open(self, tag: str, attributes: dict[str, str]) -> None:
         flow = self.flow
-        if tag == "br":
+        if tag in ("table", "tr", "td", "th") and (self.flat or tag == "table" and len(self.outer) >= 2 * DEEPEST):
+            self.flat += tag == "table"
+            flow.end_line()
+        elif tag == "br":
             flow.end_line(force=True)
         elif tag == "hr":
             flow.end_line()
@@ -226,6 +265,9 @@ class Renderer:
     def close(self, tag: str, attributes: dict[str, str]) -> None:
         if tag == "q":
             self.flow.text("”")
+        elif self.flat and tag in ("table", "tr", "td", "th"):
+            self.flat -= tag == "table"
+            self.flow.end_line()
         elif tag == "table" and self.grid:
             self.flow.end_line()
             lines, loose = self.grid.laid_out(), self.flow.lines
@@ -263,12 +305,13 @@ class Renderer:
 
 def render(html: str | None) -> str:
     """The text that a reader of the page sees."""
-    out, stack, opened = Renderer(), [], Counter()  # stack: tag, attributes, state before it
+    out, stack = Renderer(), []  # stack: tag, attributes, state before it
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
     state = [True, True]  # whether text here is displayed, and visible
 
     def push(tag: str, attributes: dict[str, str]) -> None:
+        opened[tag].append(len(stack))
         stack.append((tag, attributes, tuple(state)))
-        opened[tag] += 1
         style = attributes.get("style", "")
         parent = stack[-2][0] if len(stack) > 1 else ""
         if (
@@ -286,43 +329,42 @@ def render(html: str | None) -> str:
 
     def pop() -> None:
         tag, attributes, before = stack.pop()
-        opened[tag] -= 1
+        opened[tag].pop()
         if state[0]:
             out.close(tag, attributes)
         state[:] = before
 
     def end(names: set[str], stop: frozenset | set) -> None:
         """Closes everything from the innermost open one of `names` on, unless `stop` comes first."""
-        if not any(opened[name] for name in names):
-            return
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in stop:
-                return
+        last = lambda tags: max((opened[t][-1] for t in tags if opened[t]), default=-1)
+        found = last(names)
+        if found >= 0 and found > last(t for t in stop if t not in names):
+            while len(stack) > found:
+                pop()
 
     def text(data: str) -> None:
         if data and state[0] and state[1] and not (stack and stack[-1][0] == "details" and "open" not in stack[-1][1]):
             out.text(unescape(data) if "&" in data else data)
 
-    html, at, size = (html or "").replace("\0", ""), 0, 0
-    size = len(html)
+    html, at = (html or "").replace("\0", ""), 0
+    size, tags = len(html), Tags(html)
     while at < size:
-        match = TOKEN.search(html, at)
+        match = MARK.search(html, at)
+        text(html[at : match.start()] if match else html[at:])
         if match is None:
-            text(html[at:])
             break
-        text(html[at : match.start()])
-        at = match.end()
-        comment, slash, name, rest, _ = match.groups()
+        comment, slash, name = match.groups()
         if comment:
-            stop = html.find("-->", match.start() + 4)
+            stop = tags.find("-->", match.start() + 4)
             at = size if stop < 0 else stop + 3
-        elif not name:
             continue
-        elif slash:
+        stop = tags.end(match.end()) if name else tags.find(">", match.end())
+        if stop < 0:  # a tag that never ends is none, and neither is what follows it
+            break
+        rest, at = html[match.end() : stop], stop + 1
+        if not name:
+            continue
+        if slash:
             tag = name.lower()
             if tag == "br":
                 if state[0] and state[1]:
@@ -378,7 +420,10 @@ def render(html: str | None) -> str:
 def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: Sequence[str] = ()) -> DataFrame:
     """(id, text string, the carried columns) for each row.
 
-    A null page gives ''; null and repeated ids pass through; columns not carried are ignored.
+    A null or empty page gives ''; null and repeated ids pass through; columns not carried are ignored; an empty table gives an
+    empty result. Pages of any length and malformed ones take time in proportion to their length: a tag that is never closed by
+    '>' ends the page's text, a quote in a tag that nothing closes is an ordinary character, and lines are indented by the
+    first DEEPEST levels of nesting only, and so many levels of tables are laid out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
