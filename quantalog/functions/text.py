@@ -12,10 +12,33 @@ def hex_only(value: Column) -> Column:
 
 
 def serial(value: Column) -> Column:
-    """A serial number in hexadecimal without leading zeros; colons and spaces go, plain decimals of up to 18 digits are converted."""
-    plain = F.lower(F.regexp_replace(value, r"[\s:]", ""))
-    hexed = F.when(plain.rlike(r"^[0-9]{1,18}$") & ~value.contains(":"), F.lower(F.conv(plain, 10, 16))).otherwise(F.regexp_replace(plain, "^0x", ""))
-    return F.nullif(F.ltrim(hexed, F.lit("0")), F.lit(""))
+    """A serial number in hexadecimal without leading zeros. Plain digits are a decimal number of any length; all else is hexadecimal.
+
+    A decimal of more than 18 digits is turned nine digits at a time: high * 10^9 + low in base 2^28, limb by limb.
+    """
+    plain = F.trim(value)
+    hexed = F.ltrim(F.lower(F.regexp_replace(plain, "[^0-9A-Fa-f]", "")), F.lit("0"))
+    digits = F.ltrim(plain, F.lit("0"))
+    padded = F.lpad(digits, (F.ceil(F.length(digits) / 9) * 9).cast("int"), F.lit("0"))
+    parts = F.transform(F.sequence(F.lit(0), (F.length(padded) / 9).cast("int") - 1), lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("bigint"))
+    none = F.array().cast("array<bigint>")
+
+    def add(limbs: Column, low: Column) -> Column:
+        """limbs * 10^9 + low; limbs from the least on."""
+        step = F.aggregate(
+            limbs,
+            F.struct(none.alias("out"), low.alias("carry")),
+            lambda a, x: F.struct(F.array_append(a["out"], (x * 1_000_000_000 + a["carry"]).bitwiseAND(F.lit((1 << 28) - 1))).alias("out"), F.shiftright(x * 1_000_000_000 + a["carry"], 28).alias("carry")),
+            lambda a: F.concat(a["out"], F.array(a["carry"].bitwiseAND(F.lit((1 << 28) - 1)), F.shiftright(a["carry"], 28))),
+        )
+        return F.filter(step, lambda x, i: (x != 0) | (i < F.size(step) - 2))
+
+    big = F.aggregate(parts, none, add)
+    long = F.ltrim(F.array_join(F.transform(F.reverse(big), lambda x: F.lpad(F.lower(F.hex(x)), 7, F.lit("0"))), ""), F.lit("0"))
+    short = F.ltrim(F.lower(F.conv(plain, 10, 16)), F.lit("0"))
+    number = F.when(F.length(digits) == 0, F.lit("")).when(F.length(digits) <= 18, short).otherwise(long)
+    found = F.when(plain.rlike("^[0-9]+$"), number).when(plain.rlike("[0-9A-Fa-f]"), hexed)
+    return F.when(found == "", F.lit("0")).otherwise(found)
 
 
 def distinguished_name(value: Column) -> Column:
@@ -55,43 +78,47 @@ def algorithm_key(name: Column) -> Column:
     return F.nullif(key, F.lit(""))
 
 
-# Fixed order: bulk cipher pattern, name, bits, mode.
-BULK = [
-    ("CHACHA20", "ChaCha20", 256, "POLY1305"),
-    ("AES[-_]?256[-_]GCM", "AES", 256, "GCM"),
-    ("AES[-_]?128[-_]GCM", "AES", 128, "GCM"),
-    ("AES[-_]?256[-_]CCM", "AES", 256, "CCM"),
-    ("AES[-_]?128[-_]CCM", "AES", 128, "CCM"),
-    ("AES[-_]?256", "AES", 256, "CBC"),
-    ("AES[-_]?128", "AES", 128, "CBC"),
-    ("3DES|DES[-_]CBC3", "3DES", 168, "CBC"),
-    ("RC4[-_]?128|RC4", "RC4", 128, "STREAM"),
-    ("DES", "DES", 56, "CBC"),
-    ("NULL", "NULL", 0, "NONE"),
-]
-MAC = [("SHA384", "SHA-384"), ("SHA256", "SHA-256"), ("POLY1305", "Poly1305"), ("SHA1|SHA$", "SHA-1"), ("MD5", "MD5")]
+# Words of registered suite names and what they stand for. Fixed values.
+KEY_EXCHANGES = {"ECDHE": "ECDHE", "EECDH": "ECDHE", "DHE": "DHE", "EDH": "DHE", "ECDH": "ECDH", "PSK": "PSK"}
+AUTHENTICATIONS = {"ECDSA": "ECDSA", "RSA": "RSA", "DSS": "DSA", "DSA": "DSA"}
+BLOCK_MODES = {"GCM": "gcm", "CCM": "ccm", "CCM8": "ccm", "CBC": "cbc"}
+SUITE_HASHES = {"SHA384": "SHA-384", "SHA256": "SHA-256", "POLY1305": "HMAC", "SHA": "SHA-1", "MD5": "MD5"}
+
+
+def _named(words: Column, names: dict[str, str]) -> Column:
+    """What the first of the words that has a meaning stands for."""
+    meaning = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.get(F.filter(F.transform(words, lambda w: meaning[w]), lambda m: m.isNotNull()), F.lit(0))
 
 
 def cipher_suite(suite: Column) -> Column:
-    """Key exchange, authentication, bulk cipher with bits and mode, and MAC of a suite; TLS 1.3 suites name no key exchange."""
-    upper = F.upper(suite)
-    modern = upper.rlike("^TLS[-_](AES|CHACHA20)") & ~upper.contains("WITH")
-    kex = (
-        F.when(upper.contains("ECDHE") | upper.contains("EECDH"), "ECDHE")
-        .when(upper.rlike(r"(^|[-_])DHE([-_]|$)|EDH"), "DHE")
-        .when(upper.contains("ECDH"), "ECDH")
-        .when(upper.startswith("TLS_RSA") | upper.rlike("^(AES|DES|RC4)"), "RSA")
-        .when(upper.contains("PSK"), "PSK")
-    )
-    auth = F.when(upper.contains("ECDSA"), "ECDSA").when(upper.contains("RSA"), "RSA").when(upper.contains("DSS") | upper.contains("DSA"), "DSA")
-    bulk = F.lit(None).cast("struct<name:string,bits:int,mode:string>")
-    for pattern, name, bits, mode in reversed(BULK):
-        bulk = F.when(upper.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(bits).alias("bits"), F.lit(mode).alias("mode"))).otherwise(bulk)
-    mac = F.lit(None).cast("string")
-    for pattern, name in reversed(MAC):
-        mac = F.when(upper.rlike(pattern), name).otherwise(mac)
+    """Key exchange, authentication, bulk cipher with bits and mode, and MAC, by the words of a suite's registered name.
+
+    A registered name is key exchange and authentication, WITH, cipher with size and mode, hash; OpenSSL leaves out TLS and WITH
+    and joins cipher and size. TLS 1.3 names begin with the cipher: there is no key exchange in them. A suite that names none is
+    RSA key transport. The size of triple DES is its strength, 112. ChaCha20's tag counts as the MAC of a suite unless a hash is named.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.upper(suite), "[-_]+", " "), r"\b(AES|CAMELLIA|ARIA) ?(128|256)\b", "$1 $2")
+    words = F.filter(F.split(F.trim(text), " "), lambda w: ~w.isin("TLS", "SSL", ""))
+    first = F.get(words, F.lit(0))
+    modern = F.startswith(F.upper(suite), F.lit("TLS")) & first.isin("AES", "CHACHA20") & ~F.array_contains(words, "WITH")
+    border = F.array_position(words, "WITH").cast("int")
+    agreed = F.when(border > 0, F.slice(words, 1, F.greatest(border - 1, F.lit(0)))).otherwise(words)
+    transport = F.when((first == "RSA") & (border > 0) | first.isin("AES", "DES", "RC4", "3DES"), "RSA")
+    has = lambda w: F.array_contains(words, w)
+    size = F.get(F.filter(words, lambda w: w.isin("128", "256")), F.lit(0)).cast("int")
+    cipher = F.when(has("AES"), F.when(size.isNotNull(), "AES")).when(has("CHACHA20"), "CHACHA20").when(has("3DES") | has("CBC3") | (has("DES") & has("EDE3")), "3DES").when(has("RC4"), "RC4")
+    bits = F.when(cipher == "AES", size).when(cipher == "CHACHA20", 256).when(cipher == "3DES", 112).when(cipher == "RC4", 128)
+    mode = F.when(cipher == "AES", _named(words, BLOCK_MODES)).when(cipher == "3DES", "cbc")
+    ends = F.reverse(words)
+    hashed = F.coalesce(_named(ends, {k: v for k, v in SUITE_HASHES.items() if k not in ("POLY1305",)}), _named(ends, {"POLY1305": SUITE_HASHES["POLY1305"]}))
     return F.struct(
-        F.when(~modern, kex).alias("key_exchange"), F.when(~modern, auth).alias("authentication"), bulk["name"].alias("bulk_cipher"), bulk["bits"].alias("bulk_key_bits"), bulk["mode"].alias("mode"), mac.alias("mac")
+        F.when(~modern, F.coalesce(transport, _named(agreed, KEY_EXCHANGES))).alias("key_exchange"),
+        F.when(~modern, _named(agreed, AUTHENTICATIONS)).alias("authentication"),
+        cipher.alias("bulk_cipher"),
+        bits.alias("bulk_key_bits"),
+        mode.alias("mode"),
+        hashed.alias("mac"),
     )
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Names that are dropped at any depth. Fixed values.
-FORBIDDEN = ("private_key", "privateKey", "secret", "secret_key", "passphrase", "password", "pin", "seed", "mnemonic", "CKA_VALUE", "CKA_PRIVATE_EXPONENT", "key_material", "plaintext", "token")
+# Attribute names that may carry key material. Fixed values.
+FORBIDDEN = (
+    "CKA_VALUE", "CKA_PRIVATE_EXPONENT", "CKA_PRIME_1", "CKA_PRIME_2", "CKA_EXPONENT_1", "CKA_EXPONENT_2", "CKA_COEFFICIENT",
+    "private_key", "private_key_pem", "key_material", "secret", "d", "p", "q",
+)
 
 
 def judged(rows: DataFrame, unit_columns: list[str], id_col: str = "id", order: str = "seq") -> DataFrame:
@@ -23,6 +29,29 @@ def scrubbed(details: Column) -> Column:
     return F.map_filter(details, lambda k, v: ~k.isin(*FORBIDDEN))
 
 
+def scrubbed_json(payload: Column) -> Column:
+    """A JSON object without the forbidden keys, in objects within objects at any depth; objects in lists are left as they are.
+
+    A text that isn't a JSON object gives null. `leaks` finds what lists may still hold.
+    """
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        def without(value):
+            return {k: without(v) for k, v in value.items() if k not in FORBIDDEN} if isinstance(value, dict) else value
+
+        def one(text: str | None) -> str | None:
+            try:
+                value = json.loads(text) if text else None
+            except ValueError:
+                return None
+            return json.dumps(without(value), sort_keys=True, separators=(",", ":")) if isinstance(value, dict) else None
+
+        return texts.map(one)
+
+    return clean(payload)
+
+
 def leaks(payload: Column) -> Column:
     """Whether a forbidden key stands anywhere in a JSON text, lists included."""
     return payload.rlike(r'"(' + "|".join(FORBIDDEN) + r')"\s*:')

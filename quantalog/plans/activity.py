@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantalog.operators import drift, events, images, rules
+from quantalog.operators.checkpoints import written
 from quantalog.sources import estate
 from quantalog.sources.estate import AS_OF, FINDINGS_SQL, pick, pick_sql
 
@@ -34,6 +35,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(
         F.concat_ws("/", "id", p.cast("string"), s.cast("string")).alias("id"), "name", "plane", "source_type", "system", "algorithm", F.array("host").alias("hosts"),
         pick(PROTOCOLS, (p + n) % 4).alias("protocol"), pick(SUITES, (p + s) % 4).alias("suite"), pick(KEXES, (s + F.floor(p / 7)) % 3).alias("kex"),
+        F.concat(F.lit("/srv/r"), (s % 40).cast("string")).alias("project"), F.concat(F.lit("/srv/r"), (p % 40).cast("string"), F.lit("/bin/b"), (p % 9).cast("string")).alias("path"),
         F.lit("openssl").alias("library"), (1 + (p + n) % 3).cast("int").alias("version"), F.when(F.col("algorithm") == "RSA-2048", 2048).when(F.col("algorithm") == "RSA-4096", 4096).alias("key_size"),
         digits.alias("public_key"), pick(STATES, p % 5).alias("state"), F.concat(digits, digits).alias("fingerprint"),
         (p % 997).cast("string").alias("serial"), F.concat(F.lit("ca"), (s % 3).cast("string")).alias("issuer"), "not_after", pick(ADDRESSES, (p + s) % 5).alias("peer_ip"),
@@ -58,6 +60,7 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIGITS = "lpad(CAST(partkey * 7919 % 100003 AS VARCHAR), 32, '0')"
 DRIFT_SQL = f"""{FINDINGS_SQL}, o AS (SELECT id || '/' || CAST(partkey AS VARCHAR) || '/' || CAST(suppkey AS VARCHAR) AS id, name, plane, source_type, system, algorithm, host, suppkey, partkey,
     {pick_sql(PROTOCOLS, "(partkey + line) % 4")} AS protocol, {pick_sql(SUITES, "(partkey + suppkey) % 4")} AS suite, {pick_sql(KEXES, "(suppkey + partkey // 7) % 3")} AS kex, 1 + (partkey + line) % 3 AS version,
+    '/srv/r' || CAST(suppkey % 40 AS VARCHAR) AS project, '/srv/r' || CAST(partkey % 40 AS VARCHAR) || '/bin/b' || CAST(partkey % 9 AS VARCHAR) AS path,
     CASE algorithm WHEN 'RSA-2048' THEN 2048 WHEN 'RSA-4096' THEN 4096 END AS key_size, {_DIGITS} AS public_key, {pick_sql(STATES, "partkey % 5")} AS state, {_DIGITS} || {_DIGITS} AS fingerprint,
     CAST(partkey % 997 AS VARCHAR) AS serial, 'ca' || CAST(suppkey % 3 AS VARCHAR) AS issuer, not_after, {pick_sql(ADDRESSES, "(partkey + suppkey) % 5")} AS peer_ip FROM findings),
 d AS (SELECT s_suppkey AS k, 'h' || CAST(s_suppkey AS VARCHAR) || ':443' AS host FROM supplier),
@@ -66,19 +69,20 @@ rec AS (
     WHERE plane = 'observed' AND source_type = 'tls' AND k % 2 = 0 AND (protocol = 'TLSv1.0' OR (protocol = 'TLSv1.1' AND k % 3 <> 0))
   UNION ALL SELECT 'D2', 'high', o.host, 'HIGH:!aNULL', suite, id FROM o JOIN d USING (host) WHERE plane = 'observed' AND source_type = 'tls' AND k % 2 = 0 AND k % 4 = 0 AND k % 8 <> 0 AND (contains(suite, '3DES') OR contains(suite, 'RC4'))
   UNION ALL SELECT 'D3', 'high', b.system, 'OpenSSL ' || CAST(s.version AS VARCHAR), 'OpenSSL ' || CAST(b.version AS VARCHAR), b.id FROM o b JOIN (SELECT DISTINCT system, version FROM o WHERE source_type = 'source' AND version >= 3) s USING (system) WHERE b.source_type = 'binary' AND b.version < 3
+  UNION ALL SELECT 'D3', 'high', s.system, 'OpenSSL ' || CAST(s.version AS VARCHAR), 'OpenSSL ' || CAST(b.version AS VARCHAR), b.id FROM o b JOIN (SELECT DISTINCT system, project, version FROM o WHERE source_type = 'source' AND version >= 3) s ON starts_with(b.path, s.project || '/') WHERE b.source_type = 'binary' AND b.version < 3
   UNION ALL SELECT 'D4', 'medium', l.system, 'RSA-' || CAST(c.key_size AS VARCHAR), 'RSA-' || CAST(l.key_size AS VARCHAR), l.id FROM o l JOIN (SELECT DISTINCT system, key_size FROM o WHERE source_type = 'source' AND key_size IS NOT NULL) c ON l.system = c.system AND l.key_size < c.key_size WHERE l.plane IN ('observed', 'held')
   UNION ALL SELECT 'D5', 'high', g.name, g.state, l.host, l.id FROM o l JOIN (SELECT DISTINCT public_key, state, name FROM o WHERE state IN ('Deactivated', 'Compromised')) g USING (public_key) WHERE l.plane = 'observed'
-  UNION ALL SELECT 'D6', 'high', h.name, CAST(h.not_after AS VARCHAR), l.host, l.id FROM o l JOIN o h ON (l.fingerprint = h.fingerprint) WHERE l.plane = 'observed' AND h.plane = 'held' AND h.not_after < DATE '{AS_OF}'
-  UNION ALL SELECT 'D6', 'high', h.name, CAST(h.not_after AS VARCHAR), l.host, l.id FROM o l JOIN o h ON l.serial = h.serial AND l.issuer = h.issuer WHERE l.plane = 'observed' AND h.plane = 'held' AND h.not_after < DATE '{AS_OF}'
+  UNION ALL SELECT 'D6', 'critical', h.name, CAST(h.not_after AS VARCHAR), l.host, l.id FROM o l JOIN o h ON (l.fingerprint = h.fingerprint) WHERE l.plane = 'observed' AND h.plane = 'held' AND h.not_after < DATE '{AS_OF}'
+  UNION ALL SELECT 'D6', 'critical', h.name, CAST(h.not_after AS VARCHAR), l.host, l.id FROM o l JOIN o h ON l.serial = h.serial AND l.issuer = h.issuer WHERE l.plane = 'observed' AND h.plane = 'held' AND h.not_after < DATE '{AS_OF}'
   UNION ALL SELECT 'D7', 'medium', o.host, 'mlkem768x25519-sha256', '(none)', min(id) FROM o JOIN d USING (host) WHERE plane = 'observed' AND source_type = 'ssh' AND k % 2 = 1 AND k % 5 = 0 GROUP BY o.host HAVING NOT bool_or(kex = 'mlkem768x25519-sha256')
-  UNION ALL SELECT 'D8', 'medium', o.host, 'internal', peer_ip, id FROM o JOIN d USING (host) WHERE plane = 'observed' AND k % 6 = 0 AND peer_ip IN ('8.8.4.4', '203.0.113.5')),
+  UNION ALL SELECT 'D8', 'high', o.host, 'internal', peer_ip, id FROM o JOIN d USING (host) WHERE plane = 'observed' AND k % 6 = 0 AND peer_ip IN ('8.8.4.4', '203.0.113.5')),
 drift AS (SELECT rule, severity, subject, declared, observed, min(id) AS asset_id FROM rec GROUP BY ALL)"""
 
 
 @query(f"WITH {DRIFT_SQL} SELECT * FROM drift")
 def drift_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules D1 to D8 over all findings and declarations."""
-    return drift.all_drift(observed(spark, sf_dir), declarations(spark, sf_dir), AS_OF)
+    return drift.all_drift(written(observed(spark, sf_dir), "observed"), declarations(spark, sf_dir), AS_OF)
 
 
 @query(f"WITH {DRIFT_SQL} SELECT CASE GROUPING_ID(rule, severity) WHEN 1 THEN 'rule' WHEN 2 THEN 'severity' ELSE 'all' END AS level, coalesce(rule, severity, '') AS name, count(*) AS n FROM drift GROUP BY GROUPING SETS ((rule), (severity), ())")

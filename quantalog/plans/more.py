@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantalog.functions import constants as K
 from quantalog.functions import text
 from quantalog.functions.curve import survival_sql
-from quantalog.operators import intake, sensitivity
+from quantalog.operators import intake, sensitivity, threats
 from quantalog.plans.risk import ASSETS_SQL, scored
 from quantalog.sources import estate, exports
 
@@ -85,13 +86,29 @@ def fractional_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("id"), text.fractional_year(d).alias("fractional"), days.cast("bigint").alias("days"), F.when(days % 7 == 0, F.upper("o_orderstatus")).otherwise(F.lower("o_orderstatus")).alias("mark"))
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, ['TLS_ECDHE_RSA_WITH_AES_256_GCM_SHA384', 'ECDHE-ECDSA-AES128-SHA256', 'TLS_AES_128_GCM_SHA256', 'TLS_RSA_WITH_3DES_EDE_CBC_SHA', 'DHE-RSA-CHACHA20-POLY1305', 'RC4-MD5'][CAST(p_partkey % 6 AS INTEGER) + 1] AS suite FROM part)
-SELECT id, ['ECDHE', 'ECDHE', NULL, 'RSA', 'DHE', 'RSA'][k] AS key_exchange, ['RSA', 'ECDSA', NULL, 'RSA', 'RSA', NULL][k] AS authentication, ['AES', 'AES', 'AES', '3DES', 'ChaCha20', 'RC4'][k] AS bulk_cipher,
-  [256, 128, 128, 168, 256, 128][k] AS bulk_key_bits, ['GCM', 'CBC', 'GCM', 'CBC', 'POLY1305', 'STREAM'][k] AS mode, ['SHA-384', 'SHA-256', 'SHA-256', 'SHA-1', 'Poly1305', 'MD5'][k] AS mac FROM (SELECT *, CAST(id % 6 AS INTEGER) + 1 AS k FROM s)""")
+#: Registered names in full, and what the registry says about them (key exchange, authentication, cipher, strength, mode, hash).
+SUITES = [
+    ("TLS_ECDHE_RSA_WITH_AES_256_GCM_SHA384", "ECDHE", "RSA", "AES", 256, "gcm", "SHA-384"),
+    ("ECDHE-ECDSA-AES128-SHA256", "ECDHE", "ECDSA", "AES", 128, None, "SHA-256"),
+    ("TLS_AES_128_GCM_SHA256", None, None, "AES", 128, "gcm", "SHA-256"),
+    ("TLS_RSA_WITH_3DES_EDE_CBC_SHA", "RSA", "RSA", "3DES", 112, "cbc", "SHA-1"),
+    ("DHE-RSA-CHACHA20-POLY1305", "DHE", "RSA", "CHACHA20", 256, None, "HMAC"),
+    ("RC4-MD5", "RSA", None, "RC4", 128, None, "MD5"),
+    ("TLS_CHACHA20_POLY1305_SHA256", None, None, "CHACHA20", 256, None, "SHA-256"),
+    ("TLS_RSA_WITH_AES_128_CBC_SHA256", "RSA", "RSA", "AES", 128, "cbc", "SHA-256"),
+    ("TLS_ECDH_ECDSA_WITH_AES_256_CCM", "ECDH", "ECDSA", "AES", 256, "ccm", None),
+    ("TLS_PSK_WITH_AES_128_GCM_SHA256", "PSK", None, "AES", 128, "gcm", "SHA-256"),
+    ("DES-CBC3-SHA", "RSA", None, "3DES", 112, "cbc", "SHA-1"),
+    ("TLS_DHE_DSS_WITH_AES_256_CBC_SHA256", "DHE", "DSA", "AES", 256, "cbc", "SHA-256"),
+]
+
+
+@query("WITH r(suite, key_exchange, authentication, bulk_cipher, bulk_key_bits, mode, mac) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in SUITES)
+  + f") SELECT p_partkey AS id, r.* EXCLUDE (suite) FROM part JOIN r ON suite = {estate.pick_sql([r[0] for r in SUITES], f'p_partkey % {len(SUITES)}')}")
 def cipher_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suites taken apart."""
-    suites = ["TLS_ECDHE_RSA_WITH_AES_256_GCM_SHA384", "ECDHE-ECDSA-AES128-SHA256", "TLS_AES_128_GCM_SHA256", "TLS_RSA_WITH_3DES_EDE_CBC_SHA", "DHE-RSA-CHACHA20-POLY1305", "RC4-MD5"]
-    return estate.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.cipher_suite(estate.pick(suites, F.col("p_partkey") % 6)).alias("s")).select("id", "s.*")
+    suite = estate.pick([r[0] for r in SUITES], F.col("p_partkey") % len(SUITES))
+    return estate.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.cipher_suite(suite).alias("s")).select("id", "s.*")
 
 
 @query(f"WITH {ASSETS_SQL}, c AS (SELECT 'asset/' || id AS ref, name, 'cryptographic-asset' AS type, asset_class AS detail FROM assets UNION ALL SELECT 'algorithm/' || lower(algorithm), algorithm, 'algorithm', primitive FROM assets) SELECT ref, arg_min(name, struct_pack(a := name, b := type, c := detail)) AS name, min(type) AS type, arg_min(detail, struct_pack(a := name, b := type, c := detail)) AS detail FROM c GROUP BY ref")
@@ -116,21 +133,26 @@ def exposure_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(said, "system", "full_outer").na.fill({"assets": 0, "vulnerable": 0, "behind": 0, "worst": 0.0, "declared": False})
 
 
-@query(f"""WITH {ASSETS_SQL}, t AS (SELECT max(CASE WHEN quantum_vulnerable AND x_c >= 10 THEN h_score END) AS harvest, CAST(count_if(quantum_vulnerable AND x_c >= 10) AS BIGINT) AS harvest_n,
-  max(CASE WHEN need = 'signature_long_lived' THEN t_score END) AS forge, CAST(count_if(need = 'signature_long_lived') AS BIGINT) AS forge_n, CAST(max(CASE WHEN gated THEN qirs END) AS DOUBLE) AS gate, CAST(count_if(gated) AS BIGINT) AS gate_n,
-  CAST(max(CASE WHEN classically_broken THEN 1.0 END) AS DOUBLE) AS broken, CAST(count_if(classically_broken) AS BIGINT) AS broken_n FROM assets)
-SELECT 'harvest_now' AS threat, harvest_n AS triggers, harvest AS exposure FROM t UNION ALL SELECT 'forged_trust', forge_n, forge FROM t UNION ALL SELECT 'blocked_change', gate_n, gate FROM t UNION ALL SELECT 'broken_today', broken_n, broken FROM t""")
+_AGILITY_SQL = "CASE asset_class " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.AGILITY.items()) + " ELSE 'coordinated' END"
+
+
+@query(f"""WITH {ASSETS_SQL}, r(threat, title, status, place) AS (VALUES {", ".join(f"('{k}', '{t}', '{st}', {K.THREAT_STATUSES.index(st)})" for k, (t, st) in K.THREATS.items())}),
+c AS (SELECT 'pqc_side_channel' AS threat, count(*) AS n, 1 AS least FROM assets WHERE NOT quantum_vulnerable AND verdict = 'pqc'
+  UNION ALL SELECT 'lattice_cryptanalysis_immaturity', count(*), 1 FROM assets WHERE NOT quantum_vulnerable AND verdict = 'pqc'
+  UNION ALL SELECT 'pqc_side_channel', count(*), 1 FROM assets WHERE asset_class IN {K.HARDWARE_CLASSES}
+  UNION ALL SELECT 'retroactive_hndl', count(*), 1 FROM assets WHERE x_c >= 8
+  UNION ALL SELECT 'agility_debt', count(*), 1 FROM assets WHERE asset_class IN ('issuing_ca', 'code_signing', 'root_ca')
+  UNION ALL SELECT 'threat_model_drift', count(*), 0 FROM assets WHERE quantum_vulnerable)
+SELECT threat, title, status, CAST(max(n) AS BIGINT) AS exposed, CAST(row_number() OVER (ORDER BY min(place), max(n) DESC, threat) AS INTEGER) AS place FROM c JOIN r USING (threat) WHERE n >= least GROUP BY threat, title, status""")
 def threat_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted triggers and the greatest exposure of each threat, in one pass."""
-    quantum, q = F.col("quantum_vulnerable") & (F.col("x_c") >= 10), F.col
-    kinds = {
-        "harvest_now": (quantum, q("h_score")),
-        "forged_trust": (q("need") == "signature_long_lived", q("t_score")),
-        "blocked_change": (q("gated"), q("qirs")),
-        "broken_today": (q("classically_broken"), F.lit(1.0)),
-    }
-    one = scored(spark, sf_dir).agg(*[x for k, (on, v) in kinds.items() for x in (F.count_if(on).alias(f"{k}_n"), F.max(F.when(on, v)).alias(f"{k}_v"))])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("threat"), F.col(f"{k}_n").alias("triggers"), F.col(f"{k}_v").alias("exposure")) for k in kinds])).alias("t")).select("t.*")
+    """Threats that apply after migration, on what is counted in the estate, in one pass."""
+    return threats.assessment(scored(spark, sf_dir))
+
+
+@query(f"WITH {ASSETS_SQL}, b AS (SELECT {_AGILITY_SQL} AS band, count(*) AS n FROM assets GROUP BY 1) SELECT l.band, l.now AS actionable_now, CAST(coalesce(n, 0) AS BIGINT) AS n, round(100.0 * sum(CASE WHEN l.now THEN coalesce(n, 0) ELSE 0 END) OVER () / sum(coalesce(n, 0)) OVER (), 1) AS actionable_pct FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {str(v).lower()})' for k, v in K.AGILITY_BANDS.items())}) l(band, now) LEFT JOIN b USING (band)")
+def agility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the estate can be changed now, band by band."""
+    return threats.agility(scored(spark, sf_dir))
 
 
 @query("""WITH h AS (SELECT p_brand AS pack, p_type AS item, p_partkey AS seq, p_size % 5 AS precedence, p_retailprice AS value FROM part)

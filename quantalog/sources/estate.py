@@ -16,21 +16,21 @@ AS_OF_YEAR = 2026 + 243 / 365.25
 
 # algorithm, key bits, primitive, verdict, Shor breaks it, broken today, weakened by Grover, logical qubits to break it
 ALGORITHMS = [
-    ("RSA-2048", 2048, "pke", "vulnerable", True, False, False, 1409),
-    ("RSA-4096", 4096, "pke", "vulnerable", True, False, False, 2820),
-    ("ECDSA-P256", 256, "signature", "vulnerable", True, False, False, 1193),
-    ("ECDSA-P384", 384, "signature", "vulnerable", True, False, False, 1770),
-    ("Ed25519", 256, "signature", "vulnerable", True, False, False, 1193),
-    ("X25519", 256, "key-agree", "vulnerable", True, False, False, 1193),
-    ("DH-2048", 2048, "key-agree", "vulnerable", True, False, False, 1409),
-    ("AES-128", 128, "block-cipher", "weakened", False, False, True, None),
-    ("AES-256", 256, "block-cipher", "safe", False, False, False, None),
-    ("3DES", 168, "block-cipher", "broken", False, True, False, None),
-    ("MD5", 128, "hash", "broken", False, True, False, None),
-    ("SHA-256", 256, "hash", "safe", False, False, False, None),
-    ("ML-KEM-768", 768, "kem", "safe", False, False, False, None),
-    ("ML-DSA-65", 65, "signature", "safe", False, False, False, None),
-    ("RC4", 128, "stream-cipher", "broken", False, True, False, None),
+    ("RSA-2048", 2048, "pke", "shor", True, False, False, 1409),
+    ("RSA-4096", 4096, "pke", "shor", True, False, False, 2820),
+    ("ECDSA-P256", 256, "signature", "shor", True, False, False, 1193),
+    ("ECDSA-P384", 384, "signature", "shor", True, False, False, 1770),
+    ("Ed25519", 256, "signature", "shor", True, False, False, 1193),
+    ("X25519", 256, "key-agree", "shor", True, False, False, 1193),
+    ("DH-2048", 2048, "key-agree", "shor", True, False, False, 1409),
+    ("AES-128", 128, "block-cipher", "grover", False, False, True, None),
+    ("AES-256", 256, "block-cipher", "pqc", False, False, False, None),
+    ("3DES", 112, "block-cipher", "classical", False, True, False, None),
+    ("MD5", 128, "hash", "classical", False, True, False, None),
+    ("SHA-256", 256, "hash", "pqc", False, False, False, None),
+    ("ML-KEM-768", 768, "kem", "pqc", False, False, False, None),
+    ("ML-DSA-65", 65, "signature", "pqc", False, False, False, None),
+    ("RC4", 128, "stream-cipher", "classical", False, True, False, None),
     ("UNRESOLVED", None, "", "unknown", False, False, False, None),
 ]
 CLASSES, DATA_CLASSES = list(PROFILES), list(DATA_CLASS_YEARS)
@@ -85,6 +85,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sys"), s.cast("string")).alias("system"),
         F.concat(F.lit("h"), s.cast("string"), F.lit(":443")).alias("host"),
         F.col("c_mktsegment").alias("owner"),
+        F.when(F.col("l_suppkey") % 3 == 0, True).when(F.col("l_suppkey") % 3 == 1, False).alias("pqc_capable"),
         F.when(F.col("l_returnflag") == "R", "prod").when(F.col("l_returnflag") == "A", "staging").otherwise("dev").alias("environment"),
         F.add_months(F.to_date("l_shipdate"), (p % 400).cast("int")).alias("not_after"),
         F.to_date("o_orderdate").alias("seen_on"),
@@ -109,6 +110,7 @@ FINDINGS_SQL = f"""findings AS (
     {pick_sql(DATA_CLASSES, "l_orderkey % 11")} AS data_class,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS criticality,
     'sys' || CAST(l_suppkey AS VARCHAR) AS system, 'h' || CAST(l_suppkey AS VARCHAR) || ':443' AS host, c_mktsegment AS owner,
+    CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS pqc_capable,
     CASE l_returnflag WHEN 'R' THEN 'prod' WHEN 'A' THEN 'staging' ELSE 'dev' END AS environment,
     CAST(CAST(l_shipdate AS DATE) + to_months(CAST(l_partkey % 400 AS INTEGER)) AS DATE) AS not_after, CAST(o_orderdate AS DATE) AS seen_on,
     l_orderkey AS orderkey, l_partkey AS partkey, l_suppkey AS suppkey, CAST(l_linenumber AS BIGINT) AS line
