@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantalog.operators.checkpoints import removed, shared_path, written
+from quantalog.operators.numbering import placed
 
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -53,5 +54,4 @@ def depths(components: DataFrame, edges: DataFrame, max_rounds: int = 10_000) ->
         if raised.agg(F.sum("depth")).first() == before.agg(F.sum("depth")).first():
             break
         depth = raised
-    place = F.row_number().over(Window.orderBy("depth", F.desc("size"), "component")).cast("bigint")
-    return depth.join(sizes, "component").withColumn("order", place)
+    return placed(depth.join(sizes, "component"), [F.col("depth"), -F.col("size"), F.col("component")], "order")

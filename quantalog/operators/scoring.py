@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantalog.functions import constants as K
 from quantalog.functions.curve import survival
-from quantalog.operators.checkpoints import written
+from quantalog.operators.numbering import placed
 
 
 def dimension(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
@@ -31,13 +31,15 @@ def profiled(assets: DataFrame) -> DataFrame:
     Horizons depend on the asset class and the data class only, so the curves are worked out on the few hundred pairs of these
     and come along with the profile; rows just look them up.
     """
+    known_class = F.when(F.col("asset_class").isin(*K.PROFILES), F.col("asset_class")).otherwise("generic_key")  # also for none
     years = {"": None, **{k: float(v) for k, v in K.DATA_CLASS_YEARS.items()}}
     rows = [(k, d, v[0] if t is None else t, *map(float, v[1:])) for k, v in K.PROFILES.items() for d, t in years.items()]
     profile = assets.sparkSession.createDataFrame(rows, "asset_class string, _data string, x_c double, x_i double, y double, s double, e double, c double")
     for reading in K.READINGS:
         profile = profile.withColumns({f"safe_h_{reading}": survival(F.col("x_c") + F.col("y"), reading), f"safe_t_{reading}": survival(F.least("x_i", "y"), reading)})
     known = F.when(F.col("data_class").isin(*K.DATA_CLASS_YEARS), F.col("data_class")).otherwise("")
-    joined = assets.withColumn("_data", known).join(F.broadcast(profile), ["asset_class", "_data"], "left").drop("_data")
+    keyed = assets.withColumns({"_data": known, "_class": known_class}).withColumnRenamed("asset_class", "_own")
+    joined = keyed.join(F.broadcast(profile.withColumnRenamed("asset_class", "_class")), ["_class", "_data"]).drop("_data", "_class").withColumnRenamed("_own", "asset_class")
     return joined.withColumn("s", F.greatest("s", F.coalesce(lookup(K.CRITICALITY_FLOOR, F.col("criticality")), F.lit(0.0))))
 
 
@@ -111,25 +113,18 @@ def order_keys() -> list[Column]:
     return [tier, F.when(mine, rank).otherwise(0), F.when(mine, -F.col("margin_median")).otherwise(0.0), F.when(mine, -F.col("qirs")).otherwise(0.0), F.col("name"), F.col("id"), F.col("system"), F.col("asset_class")]
 
 
+#: What the order of priority depends on.
+ORDER_COLUMNS = ("id", "name", "system", "asset_class", "quantum_vulnerable", "classically_broken", "verdict", "category", "margin_median", "qirs")
+
+
 def ranked(assets: DataFrame, keys: list[Column] | None = None, name: str = "priority_rank") -> DataFrame:
-    """Global rank without gathering all rows in one task.
+    """Global rank without gathering all rows in one task (see numbering.placed). Give it no more columns than are wanted and ORDER_COLUMNS."""
+    return placed(assets, keys or order_keys(), name)
 
-    Rows are range-partitioned by the order, numbered inside their partition, and shifted by the rows of the partitions
-    before; only one count for each partition is put in order. The dealt rows are written, so that both reads agree on partitions.
-    """
-    keys = keys or order_keys()
-    columns = [f"__k{i}" for i in range(len(keys))]
-    plain = assets.withColumns(dict(zip(columns, keys, strict=True)))
-    dealt = written(plain.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id()), "ranked")
-    numbered = dealt.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*columns)))
-    counts = numbered.groupBy("__part").agg(F.max("__row").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__before")
-    out = numbered.join(F.broadcast(before), "__part")
-    return out.withColumn(name, (F.col("__before") + F.col("__row")).cast("bigint")).drop("__part", "__row", "__before", *columns)
-
-
-def need_of() -> Column:
-    """What has to be done about an asset; null for nothing."""
+
+def need_of(capable: Column | None = None) -> Column:
+    """What has to be done about an asset; null for nothing. capable: whether a library has post-quantum algorithms (null: unknown)."""
+    capable = F.col("pqc_capable") if capable is None else capable
     cls, primitive, usage = F.col("asset_class"), F.col("primitive"), F.col("usage")
     quantum = (
         F.when(cls.isin(*K.KEX_CLASSES) | primitive.isin("key-agree", "kem") | (usage == "key_exchange"), "key_exchange")
@@ -139,6 +134,9 @@ def need_of() -> Column:
     )
     return (
         F.when(cls == "embedded_private_key", "secret_exposure")
+        .when((cls == "crypto_library") & ~capable, "library_upgrade")
+        .when((cls == "crypto_library") & capable.isNull(), "resolve_first")
+        .when(cls == "crypto_library", F.lit(None).cast("string"))
         .when(F.col("verdict") == "unknown", "resolve_first")
         .when(F.col("classically_broken"), "replace_now")
         .when(F.col("quantum_vulnerable"), quantum)

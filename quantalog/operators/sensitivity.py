@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantalog.functions.curve import survival
+from quantalog.operators.checkpoints import written
+from quantalog.operators.numbering import Ordered, placed
 
 
 def families(t: Column) -> dict[str, Column]:
@@ -44,20 +46,20 @@ def always_on_top(sweep: DataFrame, steps: int = 10) -> DataFrame:
     return sweep.groupBy("id").count().where(F.col("count") == steps + 1).select("id")
 
 
-def inversions(df: DataFrame, a: str, b: str, buckets: int = 64) -> DataFrame:
+def inversions(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs that two measures order otherwise (ties of either aren't counted), and all pairs.
 
-    Pairs are counted level by level of a binary tree over the dense ranks of `a`: at each level a row meets its brothers by
-    grouping, and a window counts the greater ones on the left. That is n log n rows in all and never a pair of rows.
+    Pairs are counted level by level of a binary tree over the places of the values of `a`: at each level a value meets its
+    brothers by grouping, and a running sum over `b` tells the greater ones on the left. That is n log n rows in all and never
+    a pair of rows; the running sums are dealt by ranges, so the root of the tree isn't gathered in one task.
     """
-    ranked = df.select((F.dense_rank().over(Window.orderBy(a)) - 1).cast("long").alias("ra"), F.col(b).alias("vb"))
-    depth = F.greatest(F.lit(1), F.length(F.bin(F.max("ra"))))
-    levels = ranked.agg(depth.alias("depth"))
-    rows = ranked.crossJoin(F.broadcast(levels)).select("ra", "vb", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("level"))  # one row
-    node = rows.select(F.shiftright("ra", 0).alias("ra"), "vb", "level", F.expr("shiftright(ra, level + 1)").alias("node"), F.expr("shiftright(ra, level) % 2").alias("right"))
-    w = Window.partitionBy("level", "node").orderBy(F.desc("vb")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("level", "node", "vb")
-    left = F.sum((F.col("right") == 0).cast("long"))
-    counted = node.withColumns({"greater": left.over(w) - left.over(same)}).where("right = 1")
+    places = placed(df.select(F.col(a).alias("a")).where("a is not null").distinct(), [F.col("a")])
+    rows = written(df.select(F.col(a).alias("a"), F.col(b).alias("vb")).join(places, "a").select((F.col("place") - 1).alias("ra"), "vb"), "pairs")
+    top = rows.agg(F.max("ra")).first()[0] or 0  # one number
+    levels = rows.select("ra", "vb", F.explode(F.sequence(F.lit(0), F.lit(max(0, int(top).bit_length() - 1)))).alias("level"))
+    node, right = F.expr("shiftright(ra, level + 1)"), F.expr("shiftright(ra, level) % 2")
+    counts = levels.groupBy("level", node.alias("node"), "vb").agg(F.count_if(right == 0).alias("left"), F.count_if(right == 1).alias("right"))
+    upto = Ordered(counts, ["level", "node"], ["vb"], descending=True).running("upto", F.col("left")).done()
     n = df.agg(F.count("*").alias("n"))
-    return counted.agg(F.coalesce(F.sum("greater"), F.lit(0)).alias("inversions")).crossJoin(n).select("inversions", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))  # one row each
+    found = upto.agg(F.coalesce(F.sum(F.col("right") * (F.col("upto") - F.col("left"))), F.lit(0)).alias("inversions"))
+    return found.crossJoin(n).select("inversions", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))  # one row each

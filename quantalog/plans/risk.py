@@ -65,7 +65,8 @@ p5 AS (SELECT *, greatest(effort, deadline_year + 1 - {AS_OF_YEAR!r}) AS plan,
       WHEN slack_months < 0 THEN CASE WHEN dominant >= 0.20 THEN 'critical' ELSE 'high' END
       ELSE CASE {_BAND} ELSE 'minimal' END END AS risk_level FROM p4),
 p6 AS (SELECT *, {", ".join(f"CASE WHEN quantum_vulnerable THEN round(greatest(x_c + plan, least(x_i, plan)) - ({max(K.HALF_YEARS[r] - _ELAPSED, 0.0)!r} + shift), 3) END AS margin_{r}" for r in K.READINGS)},
-    CASE WHEN asset_class = 'embedded_private_key' THEN 'secret_exposure' WHEN verdict = 'unknown' THEN 'resolve_first' WHEN classically_broken THEN 'replace_now'
+    CASE WHEN asset_class = 'embedded_private_key' THEN 'secret_exposure'
+      WHEN asset_class = 'crypto_library' THEN CASE WHEN pqc_capable THEN NULL WHEN NOT pqc_capable THEN 'library_upgrade' ELSE 'resolve_first' END WHEN verdict = 'unknown' THEN 'resolve_first' WHEN classically_broken THEN 'replace_now'
       WHEN quantum_vulnerable THEN CASE
         WHEN asset_class IN {K.KEX_CLASSES} OR primitive IN ('key-agree', 'kem') OR usage = 'key_exchange' THEN 'key_exchange'
         WHEN primitive = 'pke' AND usage IN ('encryption', 'key_wrap') THEN 'kem_at_rest'
@@ -102,7 +103,8 @@ def query(sql: str):
 @query(f"SELECT id, name, algorithm, asset_class, category, margin_median, qirs, row_number() OVER (ORDER BY {ORDER_SQL}) AS priority_rank FROM assets")
 def priority_ranking(assets: DataFrame) -> DataFrame:
     """What to move first, over the whole estate."""
-    return scoring.ranked(assets).select("id", "name", "algorithm", "asset_class", "category", "margin_median", "qirs", "priority_rank")
+    narrow = assets.select("algorithm", *scoring.ORDER_COLUMNS)
+    return scoring.ranked(narrow).select("id", "name", "algorithm", "asset_class", "category", "margin_median", "qirs", "priority_rank")
 
 
 @query("SELECT id, algorithm, key_size, primitive, verdict, quantum_vulnerable, classically_broken, grover_weakened FROM assets")
@@ -283,7 +285,7 @@ def roadmap(assets: DataFrame) -> DataFrame:
   GROUP BY need, owner) ORDER BY best LIMIT 5""")
 def do_next(assets: DataFrame) -> DataFrame:
     """The five groups of work whose best-ranked asset comes first."""
-    rows = scoring.ranked(assets.where("need is not null"), name="r")
+    rows = scoring.ranked(assets.where("need is not null").select("need", "owner", *scoring.ORDER_COLUMNS), name="r")
     return rows.groupBy("need", "owner").agg(F.min("r").alias("best"), F.count("*").alias("n")).orderBy("best").limit(5)
 
 

@@ -140,7 +140,7 @@ def test_drift_rules_fire_and_hold(spark):
         {**base, "id": "d7", "source_type": "ssh", "hosts": ["k:22"], "serial": "11"},
         {**base, "id": "d8", "peer_ip": "8.8.8.8", "serial": "12"},
     ]
-    fields = "id string, plane string, source_type string, system string, hosts array<string>, protocol string, suite string, kex string, library string, version int, algorithm string, key_size int, public_key string, fingerprint string, serial string, issuer string, state string, not_after date, peer_ip string, name string"
+    fields = "id string, plane string, source_type string, system string, project string, path string, hosts array<string>, protocol string, suite string, kex string, library string, version int, algorithm string, key_size int, public_key string, fingerprint string, serial string, issuer string, state string, not_after date, peer_ip string, name string"
     said = [("tls_policy", ["h:443"], ["TLSv1.2"], "HIGH", False, [], "internal"), ("ssh_policy", ["k:22"], [], None, False, ["mlkem768x25519-sha256"], "public")]
     declared = spark.createDataFrame(said, "kind string, hosts array<string>, protocols array<string>, ciphers string, weak_enabled boolean, kex array<string>, exposure string")
     names = [f.split()[0] for f in fields.split(", ")]
@@ -196,6 +196,9 @@ def test_admission(spark):
 def test_text(spark):
     assert one(spark, text.serial(F.lit("01:AB:0c"))) == "1ab0c"
     assert one(spark, text.serial(F.lit("255"))) == "ff"
+    for number in (10**18, 2**64, 121878203918273918273918273, 7 * 10**45 + 11, 2**160 - 1):
+        assert one(spark, text.serial(F.lit(f"00{number}"))) == f"{number:x}"
+    assert one(spark, text.serial(F.lit("0"))) == "0" and one(spark, text.serial(F.lit(""))) is None
     assert one(spark, text.distinguished_name(F.lit("O=Acme, Inc , CN = Root"))) == one(spark, text.distinguished_name(F.lit("CN = Root,O=acme, inc")))
     assert one(spark, text.endpoint(F.lit("https://Host:8443/path"))) == "host:8443"
     assert one(spark, text.version_parts(F.lit("v1.10.2"))) == [1, 10, 2]
@@ -204,13 +207,17 @@ def test_text(spark):
     assert one(spark, text.instant(F.lit("not a date"))) is None
     assert one(spark, F.round(text.entropy(F.array(F.lit(1), F.lit(1), F.lit(2))), 6)) == 1.5
     assert one(spark, drift.is_internal(F.lit("172.31.9.9"))) and not one(spark, drift.is_internal(F.lit("172.32.0.1"))) and one(spark, drift.is_internal(F.lit("host"))) is None
+    six = {"::1": True, "[::1]": True, "fd12:3456::1": True, "fe80::a:b": True, "2001:db8::1": False, "::2": False, "1:2": None, "1::2::3": None, "10.0.0.300": None, "2001:db8:0:0:0:0:0:1": False, "0:0:0:0:0:0:0:1": True, "::": False}
+    assert {a: one(spark, drift.is_internal(F.lit(a))) for a in six} == six
 
 
 def test_intake(spark):
     df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (None, 3, 0.5), (2, 4, 1.5), (3, 5, None)], "id long, seq long, v double")
     assert [r.reason for r in intake.judged(df, ["v"]).orderBy("seq").collect()] == [None, "duplicate id", "missing id", "v out of range", "v not a number"]
-    assert one(spark, intake.scrubbed(F.create_map(F.lit("a"), F.lit("1"), F.lit("password"), F.lit("2")))) == {"a": "1"}
-    assert one(spark, intake.leaks(F.lit('{"x":[{"seed": 1}]}'))) and not one(spark, intake.leaks(F.lit('{"x":"seed"}')))
+    assert one(spark, intake.scrubbed(F.create_map(F.lit("a"), F.lit("1"), F.lit("CKA_PRIME_1"), F.lit("2")))) == {"a": "1"}
+    assert one(spark, intake.scrubbed_json(F.lit('{"a":{"private_key_pem":"x","b":1},"q":2,"l":[{"d":1}]}'))) == '{"a":{"b":1},"l":[{"d":1}]}'
+    assert one(spark, intake.scrubbed_json(F.lit("[1]"))) is None and one(spark, intake.scrubbed_json(F.lit(None).cast("string"))) is None
+    assert one(spark, intake.leaks(F.lit('{"x":[{"d": 1}]}'))) and not one(spark, intake.leaks(F.lit('{"x":"secret"}')))
     assert one(spark, intake.stamped(F.create_map(F.lit("a"), F.lit("1")), F.create_map(F.lit("a"), F.lit("9"), F.lit("b"), F.lit("2")))) == {"a": "1", "b": "2"}
 
 
@@ -218,7 +225,7 @@ def test_inputs(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Asset Name,hostname,algo,bits\nweb,h1,RSA,2048\n,h2,AES,big\n,,DES,56\n")
     good, bad = inputs.assets_csv(spark, str(tmp_path / "a.csv"))
     assert sorted((r.name, r.source_location, r.key_size or 0) for r in good.collect()) == [("h2", "h2", 0), ("web", "h1", 2048)]
-    assert sorted(r.reason for r in bad.collect()) == ['key_size "big" is not a number', "missing both name and source_location"]
+    assert sorted((r.field, r.value or "") for r in bad.collect()) == [("key_size", "big"), ("name", "")]
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep/big.bin").write_bytes(b"\x7fELF" + b"x" * 100)
     small, large = inputs.files(spark, str(tmp_path), 90, "*.*")
