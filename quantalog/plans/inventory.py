@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantalog.functions import constants as K
 from quantalog.operators import inventory, joins
 from quantalog.plans.risk import ASSETS_SQL, scored
-from quantalog.sources import estate
+from quantalog.sources import estate, vault
 from quantalog.sources.estate import AS_OF, CLASSES, FINDINGS_SQL, pick, pick_sql, table
 
 QUERIES: dict[str, tuple] = {}
@@ -242,6 +242,38 @@ def adopted_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.only_version(rows).select("id", "version")
 
 
+_LABELS = ["Firmware Key", "release code", "device-ca", "PIN verify", "jwt signer", "bulk", "root of trust"]
+_TYPES = ["CKK_RSA", "CKK_EC", "CKK_AES", "CKK_DES3", "CKK_OTHER"]
+
+
+@query(f"""WITH o AS (SELECT s_suppkey, s_nationkey, {pick_sql(_LABELS, "s_suppkey % 7")} || ' ' || CAST(s_suppkey AS VARCHAR) AS label, {pick_sql(_TYPES, "s_suppkey % 5")} AS t FROM supplier)
+SELECT 'vault-hsm-tok' || CAST(s_nationkey AS VARCHAR) || '-' || replace(lower(label), ' ', '-') AS id, CASE s_suppkey % 7 WHEN 0 THEN 'firmware_signing' WHEN 1 THEN 'code_signing' WHEN 2 THEN 'issuing_ca' WHEN 3 THEN 'payment_hsm' WHEN 4 THEN 'token_signing' ELSE CASE WHEN t IN ('CKK_AES', 'CKK_DES3') THEN 'backup_encryption' WHEN s_suppkey % 2 = 0 THEN 'code_signing' ELSE 'generic_key' END END AS asset_class,
+  CASE t WHEN 'CKK_RSA' THEN 'RSA' WHEN 'CKK_EC' THEN 'ECDSA' WHEN 'CKK_AES' THEN 'AES' WHEN 'CKK_DES3' THEN '3DES' ELSE 'OTHER' END AS algorithm, CAST(CASE t WHEN 'CKK_RSA' THEN 2048 WHEN 'CKK_AES' THEN 256 END AS INTEGER) AS key_size, CASE WHEN s_suppkey % 2 = 0 THEN 'sign' ELSE 'encrypt' END AS usage, s_nationkey % 3 <> 0 AS blocked FROM o""")
+def vault_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of hardware modules, a document for each token, read back."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    kind = pick(_TYPES, s % 5)
+    obj = F.struct(
+        F.concat(pick(_LABELS, s % 7), F.lit(" "), s.cast("string")).alias("CKA_LABEL"), kind.alias("CKA_KEY_TYPE"), F.when(kind == "CKK_RSA", 2048).alias("CKA_MODULUS_BITS"), F.when(kind == "CKK_AES", 32).alias("CKA_VALUE_LEN"), (s % 2 == 0).alias("CKA_SIGN"), F.lit("x").alias("CKA_VALUE"),
+    )
+    slots = table(spark, sf_dir, "supplier").groupBy(n).agg(F.collect_list(obj).alias("objects"))  # a nation's suppliers make up one document
+    slot = F.array(F.struct(n.cast("string").alias("slot_id"), F.concat(F.lit("Tok"), n.cast("string")).alias("token_label"), (n % 3 == 0).alias("pqc_ready"), "objects"))
+    documents = slots.select(F.concat(F.lit("v/"), n.cast("string"), F.lit("/pkcs11.json")).alias("path"), F.to_json(F.struct(slot.alias("slots"))).alias("text"))
+    return vault.pkcs11(documents).select("id", "asset_class", "algorithm", "key_size", "usage", "blocked")
+
+
+@query("""SELECT 'vault-aws-' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS id, CASE s_suppkey % 3 WHEN 0 THEN 'RSA' WHEN 1 THEN 'AES' ELSE 'HMAC_256' END AS algorithm, CAST(CASE s_suppkey % 3 WHEN 0 THEN 3072 WHEN 1 THEN 256 END AS INTEGER) AS key_size, CASE WHEN s_suppkey % 3 = 1 THEN 'generic_key' ELSE 'token_signing' END AS asset_class FROM supplier
+UNION ALL SELECT 'vault-gcp-k' || CAST(s_suppkey AS VARCHAR) || '-' || CAST(s_nationkey AS VARCHAR), 'ECDSA', 256, 'token_signing' FROM supplier""")
+def vault_cloud_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of two cloud services in their own shapes, read back as one table."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    aws = F.struct(F.concat(F.lpad(s.cast("string"), 8, "0"), F.lit("-x")).alias("KeyId"), F.lit("arn:aws:kms:x:1:key/1").alias("Arn"), pick(["RSA_3072", "SYMMETRIC_DEFAULT", "HMAC_256"], s % 3).alias("KeySpec"))
+    gcp = F.struct(F.concat(F.lit("p/l/cryptoKeys/k"), s.cast("string"), F.lit("/cryptoKeyVersions/"), n).alias("name"), F.lit("EC_SIGN_P256_SHA256").alias("algorithm"))
+    document = F.struct(F.struct(F.array(aws).alias("keys")).alias("aws_kms"), F.struct(F.array(gcp).alias("crypto_key_versions")).alias("gcp_kms"))
+    documents = table(spark, sf_dir, "supplier").select(F.concat(F.lit("v/"), s.cast("string"), F.lit("/cloud_kms.json")).alias("path"), F.to_json(document).alias("text"))
+    return vault.cloud_keys(documents).select("id", "algorithm", "key_size", "asset_class")
+
+
 def queries() -> dict:
     return {name: run for name, (run, _) in QUERIES.items()}
 
