@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder where that is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir; where that is unset a temporary folder, if driver and executors are one process (tests)."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quantalog-")
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 

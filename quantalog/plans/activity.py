@@ -151,7 +151,10 @@ def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "locked")
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, [t] AS kept, true AS admitted FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3 FROM (SELECT e.*, list_filter(r.kept, lambda x: e.t - x <= 21600000000) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, admitted FROM r""")
 def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 3 admitted events a user in 6 hours; rejected ones use up nothing."""
     return events.admitted(estate.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 21600.0)

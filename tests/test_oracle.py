@@ -1,7 +1,12 @@
 """Every query that has SQL gives the same rows as another engine on sf0.001."""
 
 import importlib
+import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -42,3 +47,14 @@ def test_same_rows(spark, other, name, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rest_works_without_the_training_data_operators(tmp_path):
+    """With those folders deleted (and the pipeline there or not) the entry still gives all other queries."""
+    root = Path(entry.__file__).parent
+    for n, gone in enumerate((("quantalog/llm",), ("quantalog/llm", "corpus_pipeline.py"))):
+        copy = tmp_path / str(n)
+        shutil.copytree(root, copy, ignore=lambda folder, names, gone=gone: {x for x in names if x.startswith(".") or str(Path(folder, x).relative_to(root)) in gone})
+        code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+        said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+        assert said.stdout.split() == [str(len(QUERIES)), str(sum(bool(s) for s in SQL.values()))], said.stderr
