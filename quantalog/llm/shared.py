@@ -15,7 +15,7 @@ from quantalog.operators.checkpoints import removed, shared_path, written
 __all__ = ["ascii_lower", "binary_array", "list_array", "removed", "shared_path", "slices", "spread", "written"]
 
 #: Bytes of text that Python code works on at once; one longer row still comes whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def ascii_lower(text: Column) -> Column:

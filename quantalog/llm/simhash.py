@@ -46,6 +46,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
         starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A number whose bits are 1 where they are in over half of the hashes; 0 for none."""
     total = np.zeros(BITS, np.int64)
     for low in range(0, len(hashes), 1 << 16):
         part = hashes[low : low + (1 << 16)].astype("<u8")

@@ -9,6 +9,7 @@ whose anchor it knows less than twice are certainly unique.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,17 @@ ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Counters in a shard of a sketch row (as exponent of 2), and in a whole row at most: 2 rows of 2**29 bits are 128 MB.
 SHARD, WIDEST = 20, 29
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Codes that are hashed at once: powers are kept for a block and a window, however long a text is.
+BLOCK = 1 << 16
+#: Anchors that a task holds before it gives their counters away.
+HELD = 1 << 20
 
 
+@lru_cache(maxsize=4)
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << (n + 1).bit_length())
-        make = lambda b: np.concatenate([np.ones(1, U), np.cumprod(np.full(size, b, U))])
-        have = _powers[base] = make(base), make(pow(base, -1, 1 << 64))
-    return have
+    make = lambda b: np.concatenate([np.ones(1, U), np.cumprod(np.full(n, b, U))])
+    return make(base), make(pow(base, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,13 +43,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def rolling(codes: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
-    """A hash of codes[i : i + size] for every i."""
-    if len(codes) < size:
+def rolling(codes: np.ndarray, size: int, base: int = BASES[0], spread: Callable[[np.ndarray], np.ndarray] = mix) -> np.ndarray:
+    """A hash of codes[i : i + size] for every i, a block at a time. spread: codes to 64-bit numbers."""
+    n = len(codes) - size + 1
+    if n <= 0:
         return np.zeros(0, U)
-    power, inverse = powers(base, len(codes))
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(codes) * power[: len(codes)], dtype=U)])
-    return mix((total[size:] - total[:-size]) * inverse[: len(codes) - size + 1])
+    out = np.empty(n, U)
+    power, inverse = powers(base, BLOCK + size)
+    for low in range(0, n, BLOCK):
+        part = spread(codes[low : low + BLOCK + size - 1])
+        total = np.concatenate([np.zeros(1, U), np.cumsum(part * power[: len(part)], dtype=U)])
+        out[low : low + BLOCK] = mix((total[size:] - total[:-size]) * inverse[: len(part) - size + 1])
+    return out
 
 
 def least_of(values: np.ndarray, size: int) -> np.ndarray:
@@ -71,9 +77,9 @@ def cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((hashes * U(m)) >> U(64 - bits)).astype(np.int64) for m in ROWS]
 
 
-def width_for(expected: int) -> int:
-    """Bits of a counter's number for so many anchors: four counters each, within bounds."""
-    return min(WIDEST, max(16, (4 * max(1, expected) - 1).bit_length()))
+def width_for(expected: int, each: int = 4) -> int:
+    """Bits of a counter's number for so many anchors: so many counters each, within bounds."""
+    return min(WIDEST, max(16, (each * max(1, expected) - 1).bit_length()))
 
 
 def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, at_least: int = 2) -> list[np.ndarray]:
@@ -105,7 +111,7 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
             for got in hashes(batch):
                 seen.append(got)
                 size += len(got)
-            if size > 1 << 22:
+            if size > HELD:
                 yield from out()
                 seen, size = [], 0
         if size:

@@ -2,14 +2,16 @@
 
 A row whose words are just those of an earlier row is wholly covered (or, below a window, not at all) and needs no windows.
 Of the others, every partition counts the anchors of its windows (see sketch.py) in a count-min sketch; the merged sketch overestimates.
-The second pass groups exactly, by 128-bit hash, only windows estimated to repeat; a unique window may be among them and is
-found unique there, a repeated one is never missing. Each document then learns which of its windows start earlier elsewhere
-and drops the words they cover.
+An anchor's count is at least that of each window that has it, so windows are overestimated too and no repeated one is lost.
+The second pass groups exactly, by 128 bits made of two independent codes of every word, only windows estimated to repeat; a
+unique window may be among them and is found unique there. Each document then learns which of its windows start earlier
+elsewhere and drops the words they cover.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +29,29 @@ WORD_BYTES = 5
 
 
 class _Codes(dict):
-    """Hashes of words; forgets all when it holds very many."""
+    """128-bit hashes of words; forgets all when it holds many."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 1 << 16:
             self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word, 7)
+        code = self[word] = xxhash.xxh3_128_digest(word)
         return code
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent codes of all words one after the other, and how many words each text has."""
+    words = [t.split() for t in texts]  # bytes.split knows no white space but \x20 and \x09-\x0D
+    number = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer(b"".join(map(CODES.__getitem__, chain.from_iterable(words))), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1]), number
+
+
 CODES = _Codes()
 
 
-def _words(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each text, the codes of all words one after the other, and how many each text has."""
-    words = [t.split() for t in texts]
-    number = np.fromiter(map(len, words), np.int64, len(words))
-    get = CODES.__getitem__
-    return words, np.fromiter((get(w) for x in words for w in x), np.uint64, int(number.sum())), number
+def _hashes(one: np.ndarray, other: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for every window: two hashes of different codes of the words, by different multipliers."""
+    return rolling(one, window, BASES[0]).view(np.int64), rolling(other, window, BASES[1]).view(np.int64)
 
 
 def _windows(number: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +81,7 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, id_col: st
 
     def found(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in slices(batch, 0):
-            _, codes, number = _words(part.column(0).to_pylist())
+            codes, _, number = _words(part.column(0).to_pylist())
             start, text = _windows(number, window)
             if len(start):
                 own = anchors(codes, window, gram)[start]
@@ -84,51 +91,52 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, id_col: st
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                _, codes, number = _words(part.column(1).to_pylist())
+            for part in slices(batch, 2):
+                codes, more, number = _words(part.column(2).to_pylist())
                 start, text = _windows(number, window)
                 if not len(start):
                     continue
                 twice = reaches(bitmaps.value, anchors(codes, window, gram)[start], bits)
                 start, text = start[twice], text[twice]
-                one, other = (rolling(codes, window, base)[start].view(np.int64) for base in BASES)
+                one, other = (h[start] for h in _hashes(codes, more, window))
                 order = np.lexsort([other, one, text])  # a window that repeats within its text counts once
                 one, other, text = one[order], other[order], text[order]
                 new = np.append(True, (one[1:] != one[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])) if len(one) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[new])), pa.array(one[new]), pa.array(other[new])], ["id", "one", "other"])
+                row = pa.array(text[new])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(one[new]), pa.array(other[new])], ["id", "rk", "one", "other"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    seen = written(rest.select("id", "text").mapInArrow(suspects, f"id {kind}, one long, other long"), "windows")
+    seen = written(rest.select("id", "rk", "text").mapInArrow(suspects, f"id {kind}, rk long, one long, other long"), "windows")
     first = seen.groupBy("one", "other").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    later = seen.join(first, ["one", "other"]).where("id is null or id > first")
-    marks = later.select("id", "one", "other", F.lit(None).cast("long").alias("copy")).unionByName(
-        copies.select(F.col("of").alias("id"), F.lit(None).cast("long").alias("one"), F.lit(None).cast("long").alias("other"), F.col("of_rk").alias("copy"))
-    )
-    of_row = marks.groupBy("id").agg(F.collect_list("one").alias("ones"), F.collect_list("other").alias("others"), F.collect_set("copy").alias("copies"))
+    later = seen.join(written(first, "firsts"), ["one", "other"]).where("id is null or id > first")
+    marks = later.select("id", "rk", F.struct("one", "other").alias("w"), F.lit(False).alias("copy"))
+    marks = marks.unionByName(copies.select(F.col("of").alias("id"), F.col("of_rk").alias("rk"), F.lit(None).cast("struct<one:bigint,other:bigint>").alias("w"), F.lit(True).alias("copy")))
+    # By id and text: rows without an id, or that repeat one, don't share a list.
+    of_row = marks.groupBy(F.col("id").alias("of"), F.col("rk").alias("of_rk")).agg(F.collect_set("w").alias("windows"), F.max("copy").alias("copy"))
     carried = [f"c{i}" for i in range(len(carry))]
     plain = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = df.select(F.col(id_col).alias("own"), plain.alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, carried, strict=True)])
-    joined = texts.join(of_row, texts.own.eqNullSafe(of_row.id), "left").select("text", "ones", "others", F.array_contains("copies", F.xxhash64("text")).alias("copy"), "own", *carried)
+    same = texts.own.eqNullSafe(F.col("of")) & (F.xxhash64(texts.text) == F.col("of_rk"))
+    joined = texts.join(of_row, same, "left").select("text", "windows", "copy", "own", *carried)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
                 n_words, n_removed, kept = [], [], []
-                for text, ones, others, copy in zip(*(part.column(k) for k in range(4)), strict=True):
-                    data = text.as_py()
-                    words = data.split()
+                for text, windows, copy in zip(*(part.column(k) for k in range(3)), strict=True):
+                    words = text.as_py().split()
                     gone = 0
                     if copy.as_py():
                         gone = len(words)
                         kept.append(b"")
-                    elif ones.is_valid and len(ones.values):
-                        gone_at = _covered(words, ones.values.to_numpy(), others.values.to_numpy(), window)
+                    elif windows.is_valid and len(windows.values):
+                        gone_at = _covered(words, *(windows.values.field(k).to_numpy() for k in (0, 1)), window)
                         gone = int(gone_at.sum())
                         kept.append(b" ".join([w for w, g in zip(words, gone_at.tolist(), strict=True) if not g]))
                     else:
                         kept.append(b" ".join(words))
                     n_words.append(len(words)), n_removed.append(gone)
-                columns = [part.column(k) for k in range(4, part.num_columns)]
+                columns = [part.column(k) for k in range(3, part.num_columns)]
                 names = ["own", *carried, "n_words", "n_removed", "kept"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names)
 
@@ -150,15 +158,16 @@ def _copies(rows: DataFrame, window: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     every = written(rows.select("id", "text", "rk").mapInArrow(digest, f"of {kind}, of_rk long, whole binary, n long").where(F.col("n") >= window), "wholes")
     first = every.groupBy("whole").agg(F.min("of").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null").drop("rows")
-    return every.join(first, "whole").where("of is null or of > first").select("of", "of_rk").distinct()
+    # Written first: the join then deals the rows of one text out to several tasks where they are many.
+    return every.join(written(first, "first"), "whole").where("of is null or of > first").select("of", "of_rk").distinct()
 
 
 def _covered(words: list[bytes], ones: np.ndarray, others: np.ndarray, window: int) -> np.ndarray:
     """Which words lie in a window with one of the hashes."""
-    codes = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64)
+    codes = np.frombuffer(b"".join(map(CODES.__getitem__, words)), np.uint64).reshape(-1, 2)
     pair = np.dtype([("a", np.int64), ("b", np.int64)])
     own = np.empty(max(0, len(words) - window + 1), pair)
-    own["a"], own["b"] = (rolling(codes, window, base).view(np.int64) for base in BASES)
+    own["a"], own["b"] = _hashes(np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1]), window)
     wanted = np.empty(len(ones), pair)
     wanted["a"], wanted["b"] = ones, others
     starts = np.flatnonzero(np.isin(own, wanted))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quantalog.llm import exact_dedup, simhash, simhash_wide, sketch, substring_dedup, suffix_dedup
 from tests.llm.helpers import LOWER, TEXTS, documents, prose, words
@@ -31,11 +32,28 @@ def test_exact_of_nothing(spark):
 
 
 def test_index_merges_runs(spark):
-    index = exact_dedup.MergeIndex(spark, keep="smallest")
+    index, runs = exact_dedup.MergeIndex(spark, keep="smallest"), []
     for texts in ([(5, "a"), (6, "b")], [(2, "a"), (7, "c")], [(9, "a")]):
-        index.flush(documents(spark, texts).selectExpr("doc_id as id", "text"))
+        runs.append(index.flush(documents(spark, texts).selectExpr("doc_id as id", "text")))
         index.compact()
     assert sorted((r.stays.id, r.n) for r in index.merged.collect()) == [(2, 3), (6, 1), (7, 1)]
+    found = [(r.id, r.stays.id, r.n) for run in runs for r in index.lookup(run).collect()]
+    assert sorted(found) == [(2, 2, 3), (5, 2, 3), (6, 6, 1), (7, 7, 1), (9, 2, 3)]
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_filter_of_hits(spark, monkeypatch, bits):
+    """The filter lets every hit through and hardly anything else; without room for one everything is looked up."""
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", bits)
+    index = exact_dedup.MergeIndex(spark)
+    rows = index.flush(spark.range(6000).selectExpr("id", "if(id < 2000, concat('t', id % 1000), concat('u', id)) as text"))
+    index.compact()
+    assert (index.filter() is None) == (bits == 8)
+    probed = index.probed(rows).groupBy(F.expr("id < 2000").alias("hit"), "maybe").count().collect()
+    n = {(r.hit, r.maybe): r["count"] for r in probed}
+    assert n[True, True] == 2000 and (True, False) not in n
+    assert n.get((False, True), 0) < 600 or bits == 8
+    assert index.lookup(rows).groupBy("n").count().orderBy("n").collect() == [(1, 4000), (2, 2000)]
 
 
 def plain_fingerprint(text, n):
@@ -244,8 +262,8 @@ def test_similar_clusters_in_a_crowd(spark, monkeypatch):
 
 def test_similar_large_group(spark, monkeypatch):
     """Of a group of near copies the sets that are compared grow with its members, not with its pairs."""
-    compared, confirmed = [], simhash_wide._confirmed
-    monkeypatch.setattr(simhash_wide, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirmed(pairs, *rest))
+    compared, confirmed = [], simhash_wide.Sets.confirmed
+    monkeypatch.setattr(simhash_wide.Sets, "confirmed", lambda sets, pairs: compared.append(pairs.count()) or confirmed(sets, pairs))
     base, texts = prose(78, 300).split(), []
     for k in range(500):
         edited = list(base)
