@@ -167,6 +167,38 @@ def test_words_of_all_pages(spark):
         assert words == [w for w in "".join(plain.parts).split() if not re.fullmatch(r"[-•>]|\d+\.", w)], r.page_id
 
 
+def plain_posteriors(docs, langs, weights):
+    """doc_id -> (language, posterior): the fusion by its definition, a document at a time. The prior of a source leaves the document out."""
+    scores = {r.doc_id: weights[:, language_id.trigrams(r.text)].astype(np.float64).sum(1) * language_id.TEMPER for r in docs}
+    letters = {r.doc_id: bool(re.search(r"[^\W\d_]", r.text)) for r in docs}
+    best = {i: int(s.argmax()) for i, s in scores.items()}
+    total = np.bincount([best[i] for i in best if letters[i]], minlength=len(langs)).astype(float)
+    base, out = (total + 1) / (total.sum() + len(langs)), {}
+    by_host = {h: np.bincount([best[r.doc_id] for r in docs if r.source == h and letters[r.doc_id]], minlength=len(langs)).astype(float) for h in {r.source for r in docs}}
+    for r in docs:
+        own = np.zeros(len(langs))
+        own[best[r.doc_id]] = letters[r.doc_id]
+        level = lambda seen, below: (seen - own + language_id.STRENGTH * below) / ((seen - own).sum() + language_id.STRENGTH)
+        domain = re.search(r"[^.]+\.[^.]+$", r.source)
+        inside = sum((by_host[h] for h in by_host if domain and h.endswith(domain[0]) and re.search(r"[^.]+\.[^.]+$", h)[0] == domain[0]), np.zeros(len(langs)))
+        logs = scores[r.doc_id] + np.log(level(by_host[r.source], level(inside, base) if domain else base))
+        share = np.exp(logs - logs.max())
+        share /= share.sum()
+        sure = letters[r.doc_id] and share.max() >= 0.5
+        out[r.doc_id] = (langs[int(logs.argmax())] if sure else "und", float(share.max()))
+    return out
+
+
+def test_posteriors_by_their_definition(spark):
+    """Over the whole table every posterior is that of the plain computation."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    plain = plain_posteriors(docs.select("doc_id", "text", F.lower("source").alias("source")).collect(), *model)
+    got = {r.doc_id: (r.language, r.posterior) for r in language_id.identify(docs, model, host_col="source").collect()}
+    assert got.keys() == plain.keys()
+    assert all(got[i][0] == plain[i][0] and abs(got[i][1] - plain[i][1]) < 1e-9 for i in got)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
