@@ -30,10 +30,14 @@ def report_rows(assets: DataFrame) -> DataFrame:
     return assets.where("need is not null").select(F.col("need").alias("rule"), level.alias("level"), "id", without_line(F.col("host")).alias("uri"))
 
 
-def digest(df: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
-    """A digest of all rows whatever their order: rows are hashed, sorted and hashed again bucket by bucket, then over the buckets."""
+def digest(df: DataFrame, columns: list[str], together: int = 1000) -> DataFrame:
+    """A digest of all rows whatever their order: rows are hashed, sorted and hashed again bucket by bucket, then over the buckets.
+
+    There are as many buckets as leave about `together` hashes in each, however many rows there are.
+    """
     row = df.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
-    bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    buckets = df.count() // together + 1
+    bucket = F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), F.lit(buckets))
     parts = row.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
 
