@@ -72,9 +72,9 @@ def anchors(codes: np.ndarray, window: int, gram: int) -> np.ndarray:
     return least_of(grams, window - gram + 1) if len(grams) >= window - gram + 1 else np.zeros(0, U)
 
 
-def cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+def cells(hashes: np.ndarray, bits: int, rows: int = len(ROWS)) -> list[np.ndarray]:
     """The counter of each hash in each row of the sketch."""
-    return [((hashes * U(m)) >> U(64 - bits)).astype(np.int64) for m in ROWS]
+    return [((hashes * U(m)) >> U(64 - bits)).astype(np.int64) for m in ROWS[:rows]]
 
 
 def width_for(expected: int, each: int = 4) -> int:
@@ -82,13 +82,18 @@ def width_for(expected: int, each: int = 4) -> int:
     return min(WIDEST, max(16, (each * max(1, expected) - 1).bit_length()))
 
 
-def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, at_least: int = 2) -> list[np.ndarray]:
-    """For each row of the sketch a bitmap of the counters that reach `at_least`.
+def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, at_least: int = 2, rows: int = len(ROWS)) -> list[np.ndarray]:
+    """For each row of the sketch a bitmap of the counters that reach `at_least`."""
+    return merged_levels(df, hashes, bits, (at_least,), rows)[0]
+
+
+def merged_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, levels: tuple[int, ...], rows: int = len(ROWS)) -> list[list[np.ndarray]]:
+    """For each of the rising levels, and each row of the sketch, a bitmap of the counters that reach it.
 
     hashes: the anchors in a batch of df. Each task counts in its own sketch and gives away, shard by shard, the counters it
     has touched; shards are added up where they meet. Bitmaps of at most 2**WIDEST bits come to the driver.
     """
-    shard = min(SHARD, bits)
+    shard, at_least = min(SHARD, bits), levels[-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
@@ -96,7 +101,7 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
 
         def out() -> Iterator[pa.RecordBatch]:
             every = np.concatenate(seen)
-            for row, number in enumerate(cells(every, bits)):
+            for row, number in enumerate(cells(every, bits, rows)):
                 touched, counts = np.unique(number, return_counts=True)
                 part = touched >> shard
                 edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
@@ -125,23 +130,24 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
                 at = np.frombuffer(place, "<u4")
                 total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(value, "<u2"), at_least)
         for key, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.packbits(total >= at_least, bitorder="little").tobytes()], pa.binary())], ["shard", "bitmap"])
+            found = [np.packbits(total >= level, bitorder="little").tobytes() for level in levels]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(levels), pa.int32()), pa.array(range(len(levels)), pa.int32()), pa.array(found, pa.binary())], ["shard", "level", "bitmap"])
 
     own = df.mapInArrow(count, "shard int, places binary, counts binary")
-    shards = len(ROWS) << (bits - shard)
-    total = own.repartition(max(1, min(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard").mapInArrow(add, "shard int, bitmap binary")
-    out = [np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in ROWS]
+    shards = rows << (bits - shard)
+    total = own.repartition(max(1, min(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard").mapInArrow(add, "shard int, level int, bitmap binary")
+    out = [[np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in range(rows)] for _ in levels]
     step = (1 << shard) >> 3
     for row in total.toLocalIterator():
         k = row.shard & ((1 << 20) - 1)
-        out[row.shard >> 20][k * step : (k + 1) * step] = np.frombuffer(row.bitmap, np.uint8)
+        out[row.level][row.shard >> 20][k * step : (k + 1) * step] = np.frombuffer(row.bitmap, np.uint8)
     return out
 
 
 def reaches(bitmaps: list[np.ndarray], hashes: np.ndarray, bits: int) -> np.ndarray:
     """Whether the least of an anchor's counters reaches the bound of the bitmaps."""
     good = np.ones(len(hashes), bool)
-    for bitmap, number in zip(bitmaps, cells(hashes, bits), strict=True):
+    for bitmap, number in zip(bitmaps, cells(hashes, bits, len(bitmaps)), strict=True):
         good &= (bitmap[number >> 3] >> (number & 7).astype(np.uint8) & 1).astype(bool)
     return good
 
