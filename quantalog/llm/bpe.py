@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalog.llm.shared import binary_array, list_array, slices, spread
+from quantalog.llm.shared import SLICE_BYTES, binary_array, list_array, slices, spread
 from quantalog.llm.units import IntMap, UnitStore, piece_starts
 
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -188,7 +188,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 * SLICE_BYTES):
                 ids, counts = coder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids, counts, pa.int32())], ["id", "ids"])
 

@@ -209,7 +209,7 @@ def tokenised(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
         coder, block, counts = library(path), TaskContext.get().partitionId(), {}
         kind = id_type(path)
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, 2 * SLICE_BYTES):
                 ids, sizes = coder.encode(part.column(2).to_pylist())
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 sizes = sizes + 1

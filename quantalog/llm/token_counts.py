@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalog.llm.shared import binary_array, slices, spread
+from quantalog.llm.shared import SLICE_BYTES, binary_array, slices, spread
 from quantalog.llm.units import IntMap, UnitStore, byte_of_letter, piece_starts
 
 BYTE_50K = "byte_bpe_50k.json"
@@ -319,7 +319,7 @@ def prefix_token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 * SLICE_BYTES):
                 texts = part.column(1).to_pylist()
                 counts, sizes = of.prefix_counts(texts)
                 stops = np.cumsum(sizes)

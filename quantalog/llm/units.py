@@ -62,7 +62,7 @@ class UnitStore:
     Beyond `limit` units or `most` values the store is emptied before more go in. That costs time and changes no result.
     """
 
-    def __init__(self, fill: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 100_000, most: int = 1 << 21):
+    def __init__(self, fill: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 400_000, most: int = 1 << 23):
         self.fill, self.dtype, self.limit, self.most = fill, dtype, limit, most
         self.clear()
 
