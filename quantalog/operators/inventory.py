@@ -29,10 +29,16 @@ def rows(assets: DataFrame, needs: DataFrame, drifting: DataFrame) -> DataFrame:
     return out.select("id", "name", "algorithm", "system", status().alias("status"), F.round("slack_months", 1).alias("slack_months"), F.round("qirs", 4).alias("qirs"), "behind", "target", F.coalesce("drifts", F.lit(False)).alias("drifts"))
 
 
+def host_of(endpoint: Column) -> Column:
+    """The host of scheme://host:port/path, lower-cased. An IPv6 address may stand in brackets, or bare without a port."""
+    place = F.lower(F.regexp_replace(F.regexp_replace(endpoint, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"/.*$", ""))
+    bracketed = F.regexp_extract(place, r"^\[([^\]]*)\]", 1)
+    return F.when(place.startswith("["), bracketed).when(F.size(F.split(place, ":")) == 2, F.substring_index(place, ":", 1)).otherwise(place)
+
+
 def exposure(endpoint: Column, peer: Column, declared: Column, system: Column) -> Column:
     """exposure and basis: an address is a fact, else what is declared, else a hint in the name, else unknown."""
-    name = F.regexp_replace(F.lower(F.regexp_replace(endpoint, r"^[a-z]+://", "")), r"[:/].*$", "")
-    host = F.coalesce(peer, name)
+    host = F.coalesce(peer, host_of(endpoint))
     inside, said = is_internal(host), declared.isin("internet", "internal")
     register = F.concat(F.lit("declared "), declared, F.lit(" in the register for "), F.coalesce(system, F.lit("its system")))
     inner = F.lit(False)
@@ -49,10 +55,12 @@ def exposure(endpoint: Column, peer: Column, declared: Column, system: Column) -
     )
 
 
-def identity(subject: Column, location: Column, asset_class: Column, algorithm: Column) -> Column:
-    """A certificate is its common name; anything else is where it is, of its class and algorithm."""
-    cn = common_name(subject)
-    return F.when(cn.isNotNull(), F.concat(F.lit("cn|"), F.lower(cn))).otherwise(F.lower(F.concat_ws("|", F.lit("at"), location, F.coalesce(asset_class, F.lit("")), F.coalesce(algorithm, F.lit("")))))
+def identity(subject: Column, location: Column, asset_class: Column, *what: Column) -> Column:
+    """A certificate is its common name, or its subject without one; anything else is where it is, of its class and of the
+    first of `what` that is given (algorithm, key exchange, cipher suite): one endpoint has several assets."""
+    named = F.coalesce(common_name(subject), F.nullif(subject, F.lit("")))
+    place = F.concat_ws("|", F.lit("at"), F.coalesce(location, F.lit("")), F.coalesce(asset_class, F.lit("")), F.coalesce(given(*what), F.lit("")))
+    return F.when(named.isNotNull(), F.concat(F.lit("cn|"), F.lower(named))).otherwise(F.lower(place))
 
 
 def folded(findings: DataFrame, key: str, fill: list[str]) -> DataFrame:

@@ -60,16 +60,15 @@ def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.best_member(_members(spark, sf_dir), "system")
 
 
-@query("""WITH RECURSIVE k AS (SELECT o_orderkey AS id, 'c' || CAST(o_custkey // 3 AS VARCHAR) || '/' || CAST(o_orderkey // 400 AS VARCHAR) AS key FROM orders UNION ALL SELECT o_orderkey, 'd' || CAST(o_orderkey // 5 AS VARCHAR) FROM orders),
+@query("""WITH RECURSIVE k AS (SELECT o_orderkey AS id, 'c' || CAST(o_custkey // 3 AS VARCHAR) AS key FROM orders WHERE o_custkey IS NOT NULL UNION ALL SELECT o_orderkey, 'd' || CAST(o_orderkey // 40 AS VARCHAR) FROM orders),
 s AS (SELECT key, min(id) AS least FROM k GROUP BY key), w AS (SELECT id AS a, least AS b FROM k JOIN s USING (key) UNION SELECT least, id FROM k JOIN s USING (key)),
 r(id, c) USING KEY (id) AS (SELECT DISTINCT o_orderkey, o_orderkey FROM orders UNION SELECT w.b, min(r.c) FROM r JOIN w ON r.id = w.a JOIN recurring.r AS now ON now.id = w.b WHERE r.c < now.c GROUP BY w.b)
 SELECT id, c AS component FROM r""")
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that share a typed key, transitively; every order has both keys, and one without a partner is its own component."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    orders = estate.table(spark, sf_dir, "orders").select(k.alias("id"), F.concat_ws("/", F.floor(c / 3).cast("string"), F.floor(k / 400).cast("string")).alias("c"), F.floor(k / 5).cast("string").alias("d"))
-    keys = orders.select("id", F.lit("c").alias("kind"), F.col("c").alias("value")).unionByName(orders.select("id", F.lit("d").alias("kind"), F.col("d").alias("value")))
-    found = joins.identity_components(keys)
+    orders = estate.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    key = lambda kind, c, n: orders.select("id", F.lit(kind).alias("kind"), F.floor(F.col(c) / n).cast("string").alias("value"))
+    found = joins.identity_components(key("c", "o_custkey", 3).unionByName(key("d", "id", 40)))
     return orders.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -39,28 +39,43 @@ def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.rows(assets, assets.where("need is not null").select("id", target.alias("target")), assets.where("partkey % 9 = 0").select(F.col("id").alias("asset_id")))
 
 
-@query("""WITH e AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 <> 4 THEN 'https://' || ['10.2.3.4', '8.8.8.8', 'db.corp', 'www.example.org', 'printer'][CAST(s_suppkey % 5 AS INTEGER) + 1] || ':443/x' END AS endpoint, CASE WHEN s_suppkey % 7 = 0 THEN '192.168.1.1' END AS peer, CASE s_suppkey % 4 WHEN 0 THEN 'internet' WHEN 1 THEN 'internal' END AS declared FROM supplier),
-h AS (SELECT *, coalesce(peer, regexp_replace(regexp_replace(endpoint, '^[a-z]+://', ''), '[:/].*$', '')) AS host FROM e)
-SELECT id, CASE WHEN endpoint IS NULL THEN coalesce(declared, 'unknown') WHEN host IN ('10.2.3.4', '192.168.1.1') THEN 'internal' WHEN host = '8.8.8.8' THEN 'internet' WHEN declared IS NOT NULL THEN declared WHEN host = 'db.corp' OR host = 'printer' THEN 'internal' ELSE 'unknown' END AS exposure,
-  CASE WHEN endpoint IS NULL THEN coalesce('declared ' || declared || ' in the register for sys' || CAST(id AS VARCHAR), 'not a network endpoint') WHEN host IN ('10.2.3.4', '192.168.1.1') THEN host || ' is a private address' WHEN host = '8.8.8.8' THEN host || ' is a public address'
-    WHEN declared IS NOT NULL THEN 'declared ' || declared || ' in the register for sys' || CAST(id AS VARCHAR) WHEN host = 'db.corp' OR host = 'printer' THEN host || ' is an internal name' ELSE host || ' is a name' END AS basis FROM h""")
+# An endpoint in each notation, its host, and what the host itself says (an address: fact; a name: hint).
+_ENDPOINTS = [
+    ("https://10.2.3.4:443/x", "10.2.3.4", "internal", "is a private address"),
+    ("8.8.8.8:443", "8.8.8.8", "internet", "is a public address"),
+    ("https://DB.corp:8443/", "db.corp", None, "is an internal name"),
+    ("www.example.org:22", "www.example.org", None, "is a name"),
+    ("printer:631", "printer", None, "is an internal name"),
+    ("https://[2001:4860:4860::8888]:443/x", "2001:4860:4860::8888", "internet", "is a public address"),
+    ("2606:4700:4700::1111", "2606:4700:4700::1111", "internet", "is a public address"),
+    ("tls://[fd12:3456::1]:993", "fd12:3456::1", "internal", "is a private address"),
+    ("[::1]", "::1", "internal", "is a private address"),
+    (None, None, None, None),
+]
+_ENDPOINTS_SQL = ", ".join("(" + ", ".join([str(i), *["NULL" if v is None else f"'{v}'" for v in row]]) + ")" for i, row in enumerate(_ENDPOINTS))
+
+
+@query(f"""WITH n(k, endpoint, named, fact, says) AS (VALUES {_ENDPOINTS_SQL}),
+e AS (SELECT s_suppkey AS id, n.*, s_suppkey % 7 = 0 AS seen, CASE s_suppkey % 4 WHEN 0 THEN 'internet' WHEN 1 THEN 'internal' END AS declared, 'declared ' || CASE s_suppkey % 4 WHEN 0 THEN 'internet' WHEN 1 THEN 'internal' END || ' in the register for sys' || CAST(s_suppkey AS VARCHAR) AS register FROM supplier JOIN n ON n.k = s_suppkey % 10)
+SELECT id, CASE WHEN endpoint IS NULL THEN coalesce(declared, 'unknown') WHEN seen THEN 'internal' ELSE coalesce(fact, declared, CASE says WHEN 'is a name' THEN 'unknown' ELSE 'internal' END) END AS exposure,
+  CASE WHEN endpoint IS NULL THEN coalesce(register, 'not a network endpoint') WHEN seen THEN '192.168.1.1 is a private address' WHEN fact IS NULL AND declared IS NOT NULL THEN register ELSE named || ' ' || says END AS basis FROM e""")
 def exposure_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure with what it rests on."""
     s = F.col("s_suppkey")
-    endpoint = F.when(s % 5 != 4, F.concat(F.lit("https://"), pick(["10.2.3.4", "8.8.8.8", "db.corp", "www.example.org", "printer"], s % 5), F.lit(":443/x")))
     declared = F.when(s % 4 == 0, "internet").when(s % 4 == 1, "internal")
-    found = inventory.exposure(endpoint, F.when(s % 7 == 0, "192.168.1.1"), declared, F.concat(F.lit("sys"), s.cast("string")))
+    found = inventory.exposure(pick([e[0] for e in _ENDPOINTS], s % 10), F.when(s % 7 == 0, "192.168.1.1"), declared, F.concat(F.lit("sys"), s.cast("string")))
     return table(spark, sf_dir, "supplier").select(s.alias("id"), found.alias("x")).select("id", "x.*")
 
 
-@query(f"""WITH {FINDINGS_SQL}, f AS (SELECT DISTINCT {_KEY} AS id, CASE WHEN partkey % 3 = 0 THEN 'cn|p' || CAST(partkey AS VARCHAR) ELSE 'at|' || lower(host) || '|' || asset_class || '|' || lower(algorithm) END AS identity, confidence, provenance, source_type AS sensor, CASE WHEN line % 2 = 0 THEN owner END AS owner FROM findings)
+@query(f"""WITH {FINDINGS_SQL}, f AS (SELECT DISTINCT {_KEY} AS id, CASE WHEN partkey % 6 = 0 THEN 'cn|p' || CAST(partkey AS VARCHAR) WHEN partkey % 6 = 3 THEN 'cn|o=p' || CAST(partkey AS VARCHAR) ELSE 'at|' || lower(host) || '|' || asset_class || '|' || CASE line % 3 WHEN 0 THEN lower(usage) WHEN 1 THEN 'suite' ELSE lower(algorithm) END END AS identity, confidence, provenance, source_type AS sensor, CASE WHEN line % 2 = 0 THEN owner END AS owner FROM findings)
 SELECT identity, arg_max(id, struct_pack(c := confidence, i := id)) AS id, arg_max(owner, struct_pack(c := confidence, i := id)) FILTER (owner IS NOT NULL) AS owner, round(greatest(max(confidence), least({K.BONUS_CEILING}, max(confidence) + {K.BONUS} * (count(DISTINCT provenance) - 1))), 4) AS confidence, count(DISTINCT sensor) AS sensors, count(*) AS findings FROM f GROUP BY identity""")
 def identity_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings about one object folded into the best-evidenced one, its gaps filled."""
     p = F.col("partkey")
-    subject = F.when(p % 3 == 0, F.concat(F.lit("O=x, CN=P"), p.cast("string")))
+    subject = F.when(p % 6 == 0, F.concat(F.lit("O=x, CN=P"), p.cast("string"))).when(p % 6 == 3, F.concat(F.lit("O=P"), p.cast("string")))
+    what = F.when(F.col("line") % 3 == 2, F.col("algorithm")), F.when(F.col("line") % 3 == 0, F.col("usage")), F.lit("SUITE")
     rows = estate.findings(spark, sf_dir).select(
-        F.concat_ws("/", "id", p.cast("string"), F.col("suppkey").cast("string")).alias("id"), inventory.identity(subject, F.col("host"), F.col("asset_class"), F.col("algorithm")).alias("identity"),
+        F.concat_ws("/", "id", p.cast("string"), F.col("suppkey").cast("string")).alias("id"), inventory.identity(subject, F.col("host"), F.col("asset_class"), *what).alias("identity"),
         "confidence", "provenance", F.col("source_type").alias("sensor"), F.when(F.col("line") % 2 == 0, F.col("owner")).alias("owner"),
     )
     return inventory.folded(rows.distinct(), "identity", ["owner"])
