@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalog.llm import bpe, exact_dedup, html_text, language_id, packing, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from quantalog.llm import bpe, exact_dedup, filter_audit, html_text, language_id, mixing, packing, simhash, source_divergence, substring_dedup, suffix_dedup, token_counts, topk
 from quantalog.llm.shared import written
 
 
@@ -112,9 +112,91 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+v AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+f AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER grp + 5 * count(*) OVER grp) AS p FROM f WINDOW grp AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, sum(n) AS n FROM f GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER grp + 5 * count(*) OVER grp) AS q FROM l WINDOW grp AS (PARTITION BY lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.v, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT p.lang, source, 'term', p.term, CAST(p.p - q.q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q
+), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM n WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
+    return filter_audit.interactions(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN lab USING (doc_id)
+), c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+o(filter_order, step, bit, earlier) AS (
+  SELECT '', 0, 0, 0 UNION ALL
+  SELECT filter_order || f, step + 1, b, earlier | bit FROM o, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(f, b) WHERE (earlier | bit) & b = 0
+), s AS (SELECT e.filter_order, o.step, o.bit, o.earlier FROM o JOIN o e ON e.step = 5 AND starts_with(e.filter_order, o.filter_order) WHERE o.step > 0),
+r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, bit,
+    CAST(sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, copies."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), most=2).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS n, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(n) OVER () AS total, coalesce(sum(n) OVER before, 0) AS less, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS rest FROM s
+  WINDOW before AS (ORDER BY n * (6 // w), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, w * (3 * total - 4 * less) > 4 * n * rest AS stops FROM o),
+b AS (SELECT *, 3 * total - 4 * coalesce(sum(n) FILTER (stops) OVER (), 0) AS remaining, coalesce(sum(w) FILTER (NOT stops) OVER (), 0) AS weights FROM a),
+t AS (
+  SELECT source, n, CASE WHEN stops THEN CAST(2 * n AS DOUBLE) ELSE CAST(w * remaining AS DOUBLE) / CAST(2 * weights AS DOUBLE) END AS target,
+    CASE WHEN n = 0 THEN 0 WHEN stops THEN 2 ELSE w * remaining END::HUGEINT AS copies, CASE WHEN n = 0 OR stops THEN 1 ELSE n * 2 * weights END::HUGEINT AS parts,
+    CAST('0x' || substr(sha256('mix' || coalesce('/' || source, '')), 1, 8) AS BIGINT) AS h FROM b
+), k AS (
+  SELECT doc_id, d.source, size, n, target, copies, parts, (parts * h) // 4294967296 AS start, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST)::HUGEINT AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (SELECT *, CAST((k * copies + start) // parts - ((k - 1) * copies + start) // parts AS INTEGER) AS c FROM k)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, size * c AS taken, source, c AS copies FROM e
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_simhash, op4_byte_bpe, op5_top_k, op6_suffix_dedup, op7_packing, op8_language_id, op9_html_text, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_simhash, op4_byte_bpe, op5_top_k, op6_suffix_dedup, op7_packing, op8_language_id, op9_html_text, op10_substring_dedup, op11_source_divergence, op12_filter_audit, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_top_k": OP5_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_top_k": OP5_SQL, "op11_source_divergence": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_mixing": OP13_SQL}
