@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantalog.llm.shared import shared_path, slices, written
+from quantalog.operators.numbering import BROADCAST_ROWS
 
 #: Terms are runs of ASCII letters, lower-cased, and of bytes beyond ASCII; all other bytes are spaces.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -50,7 +51,7 @@ def qualified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_counts(df: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFrame]:
     """(vocabulary: index, lang, term; counts: index, source, n) of the terms that are in at least min_docs documents of a language."""
     spark = df.sparkSession
-    docs = written(_texts(df).mapInArrow(qualified, "source string, terms array<string>"), "terms", compression="zstd")
+    docs = _texts(df).mapInArrow(qualified, "source string, terms array<string>")  # cut twice: that costs less than a table of all terms
     try:
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(docs)
     except IllegalArgumentException as error:  # it holds that a vocabulary isn't empty
@@ -60,7 +61,7 @@ def term_counts(df: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFrame
     split = [(i, *word.partition(MARK)[::-2]) for i, word in enumerate(model.vocabulary)]
     vocabulary = spark.createDataFrame(split, "index int, lang string, term string")
     at = shared_path(spark, "vectors")
-    written(model.transform(docs).select("source", "vector"), "vectors", at, compression="zstd")
+    written(model.transform(docs).select("source", "vector"), "vectors", at)
     entries = spark.read.schema(STORED).parquet(at).select("source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
     counts = entries.select("source", F.col("e.indices").alias("index"), F.col("e.values").cast("bigint").alias("n")).groupBy("index", "source").agg(F.sum("n").alias("n"))
     return written(vocabulary, "vocabulary"), written(counts, "counts")
@@ -82,11 +83,13 @@ def divergence(df: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     """
     vocabulary, counts = term_counts(df, min_docs)
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
-    counts = counts.join(vocabulary, "index")
+    names = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_ROWS else vocabulary
+    counts = counts.join(names, "index")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = _texts(df).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "terms"])
     groups = written(groups.withColumn("none", F.when(F.col("terms") > 0, _share("0"))), "groups")  # none: the share of a term that isn't there
-    shares = written(counts.join(groups, ["lang", "source"]).select("lang", "source", "index", "term", "n", _share("n").alias("p")), "shares")
+    few = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    shares = written(counts.join(few, ["lang", "source"]).select("lang", "source", "index", "term", "n", "none", _share("n").alias("p")), "shares")
 
     # Pairs: terms * |none - none|, then what each side's own terms change of it, then what terms of both sides change of that.
     sides = [groups.select("lang", F.col("source").alias(s), F.col("none").alias(f"{s}_none"), "terms") for s in ("a", "b")]
@@ -94,7 +97,7 @@ def divergence(df: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     ordered = written(ordered, "pairs")
     alike = shares.groupBy("lang", F.col("source").alias("a"), "p").agg(F.count("*").alias("m"))  # terms of a source with the same share
     one = ordered.join(alike, ["lang", "a"]).groupBy("lang", "a", "b").agg(F.sum(F.col("m") * (F.abs(F.col("p") - F.col("b_none")) - F.col("apart"))).alias("v"))
-    near = shares.join(groups, ["lang", "source"]).select("lang", "index", "source", "p", "none")
+    near = shares.select("lang", "index", "source", "p", "none")
     both = near.alias("x").join(near.alias("y"), ["lang", "index"]).where("x.source < y.source")
     change = F.expr("abs(x.p - y.p) - abs(x.p - y.none) - abs(x.none - y.p) + abs(x.none - y.none)")
     both = both.groupBy("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b")).agg(F.sum(change).alias("v"))
