@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalog.llm.shared import shared_path, slices, written
-from quantalog.operators.numbering import BROADCAST_ROWS
+from quantalog.llm.shared import binary_array, shared_path, slices, written
+from quantalog.operators.numbering import BROADCAST_ROWS, placed
 
 #: Terms are runs of ASCII letters, lower-cased, and of bytes beyond ASCII; all other bytes are spaces.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -26,7 +27,7 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else
 MARK = "\x00"
 VOCABULARY = (1 << 31) - 1
 #: How a sparse vector lies in a Parquet file.
-STORED = "source string, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+STORED = "grp bigint, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
@@ -35,36 +36,49 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def qualified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, text -> source, and the text's terms, each with MARK and the language behind it."""
+    """group, lang, text -> group, and the text's terms, each with MARK and the language behind it."""
+    kinds = np.frombuffer(LETTERS, np.uint8)
     for batch in batches:
         for rows in slices(batch, 2):
-            lists, sizes = [], []
-            for lang, text in zip(rows.column(0).to_pylist(), rows.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                behind = MARK.encode() + lang.encode()
-                words = [w + behind for w in text.translate(LETTERS).split()]
-                sizes.append(len(words))
-                lists += words
-            terms = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(lists, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([rows.column(1), terms], names=["source", "terms"])
-
-
-def term_counts(df: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary: index, lang, term; counts: index, source, n) of the terms that are in at least min_docs documents of a language."""
+            text = rows.column(2)
+            sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            data = kinds[np.frombuffer(b"".join(text.cast(pa.binary()).to_pylist()), np.uint8)]
+            inside = data != 32
+            first = inside.copy()
+            first[1:] &= ~inside[:-1]
+            begins = (ends - sizes)[sizes > 0]
+            first[begins] = inside[begins]  # a text begins anew
+            starts = np.flatnonzero(first)
+            lengths = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else starts
+            words = binary_array(data[inside].tobytes(), lengths)
+            row = np.searchsorted(ends, starts, side="right")
+            behind = pa.array([(MARK + lang).encode() for lang in rows.column(1).to_pylist()], pa.binary()).take(pa.array(row))
+            terms = pc.binary_join_element_wise(words, behind, b"").cast(pa.string())
+            offsets = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), terms)], names=["grp", "terms"])
+
+
+def term_counts(df: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups: grp, lang, source; vocabulary: index, lang, term; counts: index, grp, n) of the terms that are in at least min_docs documents of a language."""
     spark = df.sparkSession
-    docs = _texts(df).mapInArrow(qualified, "source string, terms array<string>")  # cut twice: that costs less than a table of all terms
+    texts = _texts(df)
+    groups = written(placed(texts.select("lang", "source").distinct(), [F.col("lang"), F.col("source")], "grp"), "groups")
+    few = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    docs = texts.join(few, ["lang", "source"]).select("grp", "lang", "text").mapInArrow(qualified, "grp long, terms array<string>")  # cut twice: that costs less than a table of all terms
     try:
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=VOCABULARY).fit(docs)
     except IllegalArgumentException as error:  # it holds that a vocabulary isn't empty
         if "vocabulary size" not in str(error):
             raise
-        return spark.createDataFrame([], "index int, lang string, term string"), spark.createDataFrame([], "index int, source string, n bigint")
+        return groups, spark.createDataFrame([], "index int, lang string, term string"), spark.createDataFrame([], "index int, grp bigint, n bigint")
     split = [(i, *word.partition(MARK)[::-2]) for i, word in enumerate(model.vocabulary)]
     vocabulary = spark.createDataFrame(split, "index int, lang string, term string")
     at = shared_path(spark, "vectors")
-    written(model.transform(docs).select("source", "vector"), "vectors", at)
-    entries = spark.read.schema(STORED).parquet(at).select("source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
-    counts = entries.select("source", F.col("e.indices").alias("index"), F.col("e.values").cast("bigint").alias("n")).groupBy("index", "source").agg(F.sum("n").alias("n"))
-    return written(vocabulary, "vocabulary"), written(counts, "counts")
+    written(model.transform(docs).select("grp", "vector"), "vectors", at)
+    entries = spark.read.schema(STORED).parquet(at).select("grp", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
+    counts = entries.select("grp", F.col("e.indices").alias("index"), F.col("e.values").cast("bigint").alias("n")).groupBy("index", "grp").agg(F.sum("n").alias("n"))
+    return groups, written(vocabulary, "vocabulary"), written(counts, "counts")
 
 
 def _share(count: str) -> Column:
@@ -81,15 +95,13 @@ def divergence(df: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     there even if it has no terms, and a language without terms has values of 0. Rows that repeat are all counted. An empty
     table gives an empty one; other columns are ignored. The vocabulary lies in the driver and in every executor.
     """
-    vocabulary, counts = term_counts(df, min_docs)
+    named, vocabulary, counts = term_counts(df, min_docs)
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
-    names = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_ROWS else vocabulary
-    counts = counts.join(names, "index")
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = _texts(df).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "terms"])
+    totals = counts.groupBy("grp").agg(F.sum("n").alias("total"))
+    groups = named.join(totals, "grp", "left").join(sizes, "lang", "left").na.fill(0, ["total", "terms"])
     groups = written(groups.withColumn("none", F.when(F.col("terms") > 0, _share("0"))), "groups")  # none: the share of a term that isn't there
     few = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    shares = written(counts.join(few, ["lang", "source"]).select("lang", "source", "index", "term", "n", "none", _share("n").alias("p")), "shares")
+    shares = written(counts.join(few, "grp").select("lang", "source", "index", "n", "none", _share("n").alias("p")), "shares")
 
     # Pairs: terms * |none - none|, then what each side's own terms change of it, then what terms of both sides change of that.
     sides = [groups.select("lang", F.col("source").alias(s), F.col("none").alias(f"{s}_none"), "terms") for s in ("a", "b")]
@@ -108,7 +120,9 @@ def divergence(df: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
 
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("terms").alias("terms"))
     common = shares.groupBy("lang", "index").agg(F.sum("n").alias("n")).join(of_lang, "lang").select("lang", "index", _share("n").alias("q"))
-    more = shares.join(common, ["lang", "index"]).where("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    terms = vocabulary.select("index", "term")
+    names = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    more = shares.join(common, ["lang", "index"]).where("p > q").join(names, "index").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     ranked = lambda rows, part: rows.withColumn("rank", place).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return ranked(pairs, "pair").unionByName(ranked(more, "term").where(F.col("rank") <= top))
