@@ -356,7 +356,8 @@ def matched(found: DataFrame, rules: list[tuple]) -> DataFrame:
     table = found.sparkSession.createDataFrame(rules, FIELDS).alias("r")  # some hundred rows, a parameter
     some = found.where(may).alias("s")
     both = some.join(F.broadcast(table), [F.col("s.language") == F.col("r.language"), F.col("s.kind") == F.col("r.kind"), F.expr("s.callee rlike r.pattern")])
-    return both.groupBy("key", "pos", "s.language", "line", "s.kind", "callee", "open").agg(F.min_by(F.struct("r.*"), "r.place").alias("r"))
+    told = F.struct(*[F.col(f"r.{c}") for c in table.columns if c not in ("place", "language", "kind")])
+    return both.groupBy("key", "pos", "s.language", "line", "s.kind", "callee", "open").agg(F.min_by(told, "r.place").alias("r"))
 
 
 def literal(text: Column) -> Column:
@@ -367,6 +368,11 @@ def literal(text: Column) -> Column:
     return F.when(text.rlike(body) & ~filled, F.concat(*parts))
 
 
+def _extract(text: Column, pattern: Column, group: Column) -> Column:
+    """regexp_extract by a pattern that comes from a rule."""
+    return F.call_function("regexp_extract", text, pattern, group)
+
+
 def _value(source: Column, args: Column, callee: Column, pattern: Column) -> Column:
     """The text that a source points to, before its own pattern is applied."""
     keyed = F.concat(F.lit("^"), source["keyword"], F.lit(r"\s*[=:](?!=)\s*"))
@@ -376,9 +382,9 @@ def _value(source: Column, args: Column, callee: Column, pattern: Column) -> Col
     node = F.coalesce(by_word, placed)
     prop = F.concat(F.lit(r"(?s)[{,]\s*[\"']?"), source["property"], F.lit(r"[\"']?\s*:\s*(\"[^\"]*\"|'[^']*'|[^,}]*)"))
     holder = F.coalesce(node, F.get(F.filter(args, lambda a: F.coalesce(F.regexp_like(a, prop), F.lit(False))), F.lit(0)))
-    inner = F.nullif(F.trim(F.regexp_extract(holder, prop, 1)), F.lit(""))
+    inner = F.nullif(F.trim(_extract(holder, prop, F.lit(1))), F.lit(""))
     whole = F.when(source["property"].isNull() | literal(node).isNotNull(), node).otherwise(inner)
-    return F.when(source["group"].isNotNull(), F.regexp_extract(callee, pattern, source["group"])).otherwise(whole)
+    return F.when(source["group"].isNotNull(), _extract(callee, pattern, source["group"])).otherwise(whole)
 
 
 def algorithm_name(text: Column, signature: Column) -> Column:
@@ -422,7 +428,7 @@ def scan(files: DataFrame, rules: str = RULES) -> DataFrame:
     key_size, protocol, cipher_suite, mode, padding, digest, usage, confidence, unresolved, argument, literal.
 
     argument is the expression (its first 80 characters) that chooses an algorithm elsewhere; no other text of the file is kept. Rows that
-    repeat an id are scanned one by one; null and empty texts have no sites; brackets that don't close end no argument.
+    repeat an id are scanned one by one; null and empty texts have no sites; of a bracket that is never closed the arguments before its last comma count.
     """
     table = parsed(rules)
     kept, solid = tokens(files, table)
@@ -432,11 +438,11 @@ def scan(files: DataFrame, rules: str = RULES) -> DataFrame:
     starts = F.concat(F.array("open"), F.expr("slice(edges, 1, size(edges) - 1)"))
     inner = F.transform(F.arrays_zip(starts.alias("a"), F.col("edges").alias("b")), lambda e: F.filter(F.slice("tokens", e["a"] + 2, e["b"] - e["a"] - 1), lambda t: ~t.rlike(_COMMENT) | ((F.col("language") != "python") & t.startswith("#"))))
     args = F.filter(F.transform(inner, lambda ts: F.trim(F.regexp_replace(F.array_join(ts, ""), r"^\s+|\s+$", ""))), lambda a: a != "")
-    one = written(edged.select("id", "key", "pos", "language", "line", "kind", "callee", "r.*", F.coalesce(args, F.array().cast("array<string>")).alias("args")).drop("place"), "sites")
+    one = written(edged.select("id", "key", "pos", "language", "line", "kind", "callee", "r.*", F.coalesce(args, F.array().cast("array<string>")).alias("args")), "sites")
 
-    filled = lambda template: F.regexp_replace(F.col(template), r"\$1", F.regexp_extract("callee", F.col("pattern"), F.lit(1)))
+    filled = lambda template: F.replace(F.col(template), F.lit("$1"), _extract(F.col("callee"), F.col("pattern"), F.lit(1)))
     value = lambda s: _value(F.col(s), F.col("args"), F.col("callee"), F.col("pattern"))
-    inside = lambda s, text: F.nullif(F.regexp_extract(text, F.concat(F.lit("(?i)"), F.col(s)["pattern"]), F.lit(1)), F.lit(""))
+    inside = lambda s, text: F.nullif(_extract(text, F.concat(F.lit("(?i)"), F.col(s)["pattern"]), F.lit(1)), F.lit(""))
     read = lambda s, text: F.when(F.col(s)["pattern"].isNotNull(), inside(s, text)).when(F.col(s)["group"].isNotNull(), text).otherwise(literal(text))
     one = one.withColumns({f"{s}_text": value(s) for s in ("algorithm", "protocol", "suite", "size", "mode")})
     one = one.withColumns({"said": F.when(F.col("algorithm").isNotNull(), read("algorithm", F.col("algorithm_text"))), "made": F.when(F.col("template").isNotNull() & F.col("template").contains("$"), filled("template")).otherwise(F.col("template"))})

@@ -120,13 +120,14 @@ def linked_files(files: DataFrame, base: KnowledgeBase) -> DataFrame:
 
 def banners(texts: DataFrame, base: KnowledgeBase) -> DataFrame:
     """texts: id, text. Each banner in a text: id, library, version (null if the banner has none), said. A text without any is never exploded."""
-    found = []
-    for library, pattern in base.banners:
-        inner = pattern if "(" in pattern.replace("(?:", "") else f"({pattern})()"
-        said = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        group = F.lit(1) if inner == pattern else F.lit(2)
-        numbers = F.regexp_extract_all("text", F.lit(inner), group)
-        found.append(F.transform(F.arrays_zip(said.alias("said"), numbers.alias("version")), lambda z, library=library: F.struct(F.lit(library).alias("library"), F.nullif(z["version"], F.lit("")).alias("version"), z["said"].alias("said"))))
+
+    def of(library: str, pattern: str) -> Column:
+        grouped = "(" in pattern.replace("(?:", "")
+        numbers = F.regexp_extract_all("text", F.lit(pattern if grouped else f"({pattern})()"), F.lit(1 if grouped else 2))
+        both = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("said"), numbers.alias("version"))
+        return F.transform(both, lambda z: F.struct(F.lit(library).alias("library"), F.nullif(z["version"], F.lit("")).alias("version"), z["said"].alias("said")))
+
+    found = [of(*b) for b in base.banners]
     may = texts.where(F.col("text").rlike("|".join(p for _, p in base.banners)))
     return may.select("id", F.explode(F.concat(*found)).alias("b")).select("id", "b.*")
 

@@ -91,7 +91,7 @@ SITES = [
     ("sign.ts", 5, "HMAC", None, {"jose": "HS256"}), ("sign.ts", 6, "RSA", 1024, {"kind": "new"}), ("sign.ts", 6, "ML-KEM-512", None, {}), ("sign.ts", 6, "RSA", None, {"digest": "SHA-1"}), ("sign.ts", 6, "3DES", None, {}),
     ("sign.rs", 2, "ECDSA", None, {"kind": "import"}), ("sign.rs", 4, "RSA", 3072, {}), ("sign.rs", 4, "MD5", None, {"kind": "call"}), ("sign.rs", 5, "ECDH", 384, {}), ("sign.rs", 6, "AES-256", None, {}), ("sign.rs", 6, "RSA", 1024, {}),
     ("Sign.cs", 2, "RSA", 3072, {"kind": "call"}), ("Sign.cs", 2, "RSA", 2048, {"kind": "new"}), ("Sign.cs", 3, "ECDSA", 521, {}), ("Sign.cs", 3, "3DES", None, {}), ("Sign.cs", 4, None, None, {"protocol": "TLSv1.0"}), ("Sign.cs", 4, "SHA-1", None, {}),
-    ("open.py", 1, None, None, {"unresolved": True, "argument": "(absent)"}),
+    ("open.py", 1, "MD5", None, {"literal": "md5"}),
 ]
 
 
