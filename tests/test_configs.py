@@ -31,10 +31,12 @@ def declared(spark, text, path="nginx.conf", **options):
 NGINX = """ssl_protocols TLSv1.3;
 http {
   ssl_ciphers "RC4:AES";
-  server { listen 443; listen [::]:9443 ssl http2; server_name a.x;
-    if ($x) { return 1; }
+  server { listen 443;
+    listen [::]:9443 ssl http2;
+    server_name a.x; if ($x) { return 1; }
     # } server { server_name no.x;
-    location / { ssl_protocols TLSv1; }
+    location / {
+      ssl_protocols TLSv1; }
   }
   upstream u { server 10.0.0.1:80; }
   server
@@ -48,9 +50,9 @@ http {
 
 
 def test_nginx_blocks(spark):
-    """A block ends with its own bracket; what stands above counts where the server says nothing. The first directive in a block counts, nested or not."""
-    assert declared(spark, NGINX) == [(4, ["a.x:9443"], ["TLSv1.0"], '"RC4:AES"'), (12, [], ["SSLv3"], '"RC4:AES"')]
-    assert declared(spark, NGINX, inherit=False) == [(4, ["a.x:9443"], ["TLSv1.0"], None), (12, [], ["SSLv3"], None)]
+    """A block ends with its own bracket; what stands above counts where the server says nothing. The first directive that begins a line of the block counts, nested or not."""
+    assert declared(spark, NGINX) == [(4, ["a.x:9443"], ["TLSv1.0"], '"RC4:AES"'), (14, [], ["SSLv3"], '"RC4:AES"')]
+    assert declared(spark, NGINX, inherit=False) == [(4, ["a.x:9443"], ["TLSv1.0"], None), (14, [], ["SSLv3"], None)]
 
 
 def test_apache_and_ssh_hosts(spark):
