@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantalog.functions import constants as K
 from quantalog.functions.text import common_name
 from quantalog.operators.drift import is_internal
+from quantalog.operators.numbering import placed
 from quantalog.operators.scoring import lookup
 
 
@@ -123,6 +124,38 @@ def notifications(assets: DataFrame, not_run: DataFrame) -> DataFrame:
     return both.select(F.explode(items).alias("i")).select("i.*")
 
 
+#: Of alerts, the most urgent first.
+ALERT_ORDER = ("critical", "warning", "info")
+
+
+def _named_alert(rows: DataFrame, kind: str, severity: str, most: int, text: str) -> DataFrame:
+    """One alert that counts rows (name) and names the first few, or none if there are no rows."""
+    first = rows.orderBy("name").limit(most).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
+    both = rows.agg(F.count("*").alias("n")).crossJoin(first).where("n > 0")  # one row each
+    more = F.when(F.col("n") > most, F.format_string(" and %d more", F.col("n") - most)).otherwise("")
+    return both.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "n", F.concat(F.lit(text), F.lit(": "), "names", more).alias("body"))
+
+
+def alerts(assets: DataFrame, not_run: DataFrame, checks: DataFrame, required: DataFrame, models: DataFrame, announcements: DataFrame) -> DataFrame:
+    """All that the state of the estate has to say, the most urgent first: place, kind, severity, n, body.
+
+    assets and not_run as in `notifications` (not_run: name); checks: name, passed (of the last run); required: name, active (sensors that
+    the profile needs); models: name, available; announcements: name, severity, body (those that weren't dismissed). An unknown severity counts
+    as info. Nulls of passed, active and available count as false.
+    """
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    parts = [
+        notifications(assets, not_run.limit(0)), _named_alert(checks.where(no("passed")), "failed-checks", "critical", 3, "output checks failed"), _named_alert(not_run, "blind-spots", "warning", 3, "sensors never ran"),
+        _named_alert(required.where(no("active")), "inactive-sensors", "warning", 5, "required sensors are inactive"), _named_alert(models.where(no("available")), "retired-models", "warning", 3, "models are out of rotation"),
+        announcements.select(F.concat(F.lit("announcement-"), "name").alias("kind"), F.when(F.col("severity").isin(*ALERT_ORDER), F.col("severity")).otherwise("info").alias("severity"), F.lit(1).cast("bigint").alias("n"), "body"),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    urgency = F.array_position(F.array(*map(F.lit, ALERT_ORDER)), F.col("severity"))
+    return placed(every, [urgency, F.col("kind")]).select("place", "kind", "severity", "n", "body")
+
+
 def coverage(sensors: DataFrame, runs: DataFrame) -> DataFrame:
     """Every registered sensor with its runs, findings and failures; those without a run are told."""
     ran = runs.groupBy("sensor").agg(F.count("*").alias("runs"), F.sum("findings").alias("findings"), F.count_if("failed").alias("failed"))
@@ -140,12 +173,15 @@ def fit(expected: DataFrame, observed: DataFrame) -> DataFrame:
 def reliability(calls: DataFrame, last: int = 20) -> DataFrame:
     """calls: model, at, ok, latency. A smoothed rate of success, (1 + ok) / (2 + n), and the median of the last latencies; the best first."""
     counts = calls.groupBy("model").agg(F.count("*").alias("calls"), F.count_if("ok").alias("ok"))
-    # The latest few of each task, then of all: no model's calls meet in one list.
-    recent = calls.groupBy("model", F.pmod(F.xxhash64("at"), F.lit(64)).alias("salt")).agg(F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("at", "latency")))), 1, last).alias("l"))
-    recent = recent.select("model", F.explode("l").alias("c")).groupBy("model").agg(F.slice(F.reverse(F.sort_array(F.collect_list("c"))), 1, last).alias("l"))
+    # The latest few of each part, then of all: ranks in a window that drops the rest early, so no model's calls meet in one list.
+    latest = [F.desc("at"), F.desc("latency")]
+    place = lambda *by: F.row_number().over(Window.partitionBy("model", *by).orderBy(*latest))
+    salted = calls.select("model", "at", "latency", F.pmod(F.xxhash64("at"), F.lit(64)).alias("salt"))
+    some = salted.withColumn("n", place("salt")).where(F.col("n") <= last)
+    recent = some.withColumn("n", place()).where(F.col("n") <= last).groupBy("model").agg(F.collect_list("latency").alias("l"))  # `last` of each model
     n = F.size("m")
     median = (F.get("m", F.floor((n - 1) / 2).cast("int")) + F.get("m", F.floor(n / 2).cast("int"))) / 2
-    rated = counts.join(recent.select("model", F.sort_array(F.transform("l", lambda c: c["latency"])).alias("m")), "model")
+    rated = counts.join(recent.select("model", F.sort_array("l").alias("m")), "model")
     return rated.select("model", "calls", F.round((1 + F.col("ok")) / (2 + F.col("calls")), 6).alias("reliability"), F.round(median, 6).alias("median_latency"))
 
 

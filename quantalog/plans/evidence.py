@@ -237,7 +237,7 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {PARTS_SQL} SELECT node, component FROM comp")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    return graph.strong_components(nodes(e), graph.closure(e))
+    return graph.strong_components(nodes(e), e)
 
 
 @query(f"""WITH RECURSIVE {PARTS_SQL}, dag AS (SELECT DISTINCT a.component AS above, b.component AS below FROM edges e JOIN comp a ON a.node = e.source JOIN comp b ON b.node = e.target WHERE a.component <> b.component),
@@ -247,7 +247,7 @@ SELECT component, size, depth, row_number() OVER (ORDER BY depth, size DESC, com
 def migration_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of what must move together, after what they stand on."""
     e = edges(spark, sf_dir)
-    return graph.depths(graph.strong_components(nodes(e), graph.closure(e)), e).select("component", "size", "depth", "order")
+    return graph.depths(graph.strong_components(nodes(e), e), e).select("component", "size", "depth", "order")
 
 
 @query(f"""WITH {EDGES_SQL} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT source AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT target, 0, 1 FROM edges) GROUP BY node""")

@@ -205,6 +205,23 @@ def banner_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), part(1).alias("major"), part(2).alias("minor"), F.concat(F.lit("pkg:deb/"), F.lower(F.trim("n_name")), F.lit("@"), k, F.lit("."), r).alias("purl"))
 
 
+@query(f"""WITH {ASSETS_SQL}, o AS (SELECT CAST(count_if(expiry_days < 0) AS BIGINT) AS a, CAST(count_if(expiry_days BETWEEN 0 AND 30) AS BIGINT) AS b, CAST(count_if(expiry_days BETWEEN 31 AND 90) AS BIGINT) AS c, CAST(count_if(slack_months < 0) AS BIGINT) AS d, min(slack_months) AS w FROM assets),
+x(kind, severity, most, text) AS (VALUES ('failed-checks', 'critical', 3, 'output checks failed'), ('blind-spots', 'warning', 3, 'sensors never ran'), ('inactive-sensors', 'warning', 5, 'required sensors are inactive'), ('retired-models', 'warning', 3, 'models are out of rotation')),
+m AS (SELECT 'failed-checks' AS kind, c_name AS name FROM customer WHERE c_custkey % 50 = 7 UNION ALL SELECT 'blind-spots', n_name FROM nation WHERE n_nationkey % 6 = 5 UNION ALL SELECT 'inactive-sensors', n_name FROM nation WHERE n_nationkey % 4 <> 1 UNION ALL SELECT 'retired-models', s_name FROM supplier WHERE s_suppkey % 9 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name) AS k, count(*) OVER (PARTITION BY kind) AS n FROM m), g AS (SELECT r.kind, severity, n, text || ': ' || string_agg(name, ', ' ORDER BY name) FILTER (k <= most) || CASE WHEN n > any_value(most) THEN ' and ' || (n - any_value(most)) || ' more' ELSE '' END AS body FROM r JOIN x USING (kind) GROUP BY r.kind, severity, n, text),
+u AS (SELECT 'expiry' AS kind, CASE WHEN a + b > 0 THEN 'critical' ELSE 'warning' END AS severity, a + b + c AS n, format('{{}} expired, {{}} critical, {{}} warning', a, b, c) AS body FROM o WHERE a + b + c > 0 UNION ALL SELECT 'negative-slack', 'critical', d, printf('worst slack %.1f months', w) FROM o WHERE d > 0
+  UNION ALL SELECT kind, severity, n, body FROM g UNION ALL SELECT 'announcement-' || r_name, CASE r_regionkey WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END, 1, 'about ' || r_name FROM region)
+SELECT row_number() OVER (ORDER BY list_position(['critical', 'warning', 'info'], severity), kind) AS place, * FROM u""")
+def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that the state of the estate has to say, the most urgent first."""
+    flag = lambda name, column, ok, as_: table(spark, sf_dir, name).select(F.col(column).alias("name"), ok.alias(as_))
+    news = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.when(F.col("r_regionkey") == 0, "critical").when(F.col("r_regionkey") == 1, "warning").otherwise("unheard of").alias("severity"), F.concat(F.lit("about "), "r_name").alias("body"))
+    return inventory.alerts(
+        scored(spark, sf_dir).withColumn("expiry_days", F.datediff("not_after", F.lit(AS_OF).cast("date"))), flag("nation", "n_name", F.col("n_nationkey") % 6 != 5, "ran").where("not ran"), flag("customer", "c_name", F.col("c_custkey") % 50 != 7, "passed"), flag("nation", "n_name", F.col("n_nationkey") % 4 == 1, "active"),
+        flag("supplier", "s_name", F.col("s_suppkey") % 9 != 1, "available"), news,
+    )
+
+
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(CAST(DATE '2026-01-01' AS DATE) + CAST(o_orderkey % 3000 AS INTEGER) AS VARCHAR) AS day, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM orders""")
 def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days as ISO dates and moments in RFC 3339."""

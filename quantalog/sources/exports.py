@@ -31,15 +31,19 @@ def report_rows(assets: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame, columns: list[str], together: int = 1000) -> DataFrame:
-    """A digest of all rows whatever their order: rows are hashed, sorted and hashed again bucket by bucket, then over the buckets.
+    """A digest of all rows whatever their order: rows are hashed and dealt to buckets by their hash, and buckets are hashed up a tree.
 
-    There are as many buckets as leave about `together` hashes in each, however many rows there are.
+    Some `together` hashes meet in a task at each level, however many rows there are; levels grow with the logarithm of their number.
     """
-    row = df.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
+    hashes = df.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
     buckets = df.count() // together + 1
-    bucket = F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), F.lit(buckets))
-    parts = row.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
+    level = hashes.withColumn("b", F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), F.lit(buckets)))
+    while True:
+        level = level.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
+        if buckets == 1:
+            return level.agg(F.coalesce(F.max("h"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
+        buckets = -(-buckets // together)
+        level = level.select((F.floor(F.col("b") / together) if buckets > 1 else F.lit(0)).cast("long").alias("b"), F.concat(F.lpad(F.col("b").cast("string"), 20, "0"), F.lit(":"), "h").alias("h"))
 
 
 def serial_number(refs: DataFrame) -> DataFrame:

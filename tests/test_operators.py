@@ -107,11 +107,53 @@ def test_identity_of_all_orders(spark):
 def test_migration_order(spark, edges, depth, cycle):
     e = spark.createDataFrame(edges, "source long, target long")
     nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
-    parts = graph.strong_components(nodes, graph.closure(e))
+    parts = graph.strong_components(nodes, e)
     assert dict(rows(parts, "node", "component")) == {n: cycle.get(n, n) for n in {x for p in edges for x in p}}
     assert dict(rows(graph.depths(parts, e), "component", "depth")) == depth
 
 
+def plain_components(edges):
+    """By the nodes that each node reaches."""
+    nodes = {n for e in edges for n in e}
+    ahead = {n: {b for a, b in edges if a == n} for n in nodes}
+    reach = {}
+    for n in nodes:
+        seen, todo = set(), [n]
+        while todo:
+            for m in ahead[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        reach[n] = seen
+    return {n: min([n, *(m for m in reach[n] if n in reach[m])]) for n in nodes}
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (6, 7), (7, 7)],
+        [(5, 6), (6, 7), (7, 5), (1, 5), (7, 9)],  # a ring with a way in and one out
+        [(1, 2), (2, 3), (3, 4), (4, 3), (4, 5), (5, 6), (6, 2)],  # a ring in a ring
+        [(9, 8), (8, 9), (8, 7), (7, 6), (6, 7), (6, 5), (5, 5), (5, 4), (4, 3)],  # rings along a path
+        [(a, b) for a in range(6) for b in range(6) if a < b],
+        [(i, (i * 7 + 3) % 40) for i in range(40)] + [(i, (i * 11 + 5) % 60) for i in range(20)],
+        [(random.Random(n).randrange(45), random.Random(-n).randrange(45)) for n in range(1, 60)],
+    ],
+)
+def test_strong_components(spark, edges):
+    df = spark.createDataFrame([*edges, *edges[:3], (None, 1), (2, None)], "source long, target long")
+    assert dict(rows(graph.strongly_connected(df), "node", "component")) == plain_components(edges)
+
+
+def test_long_chain_and_ring_in_few_rounds(spark):
+    """A chain of 100,000 nodes and a ring of as many: both are made one node at once, so ten rounds are enough."""
+    chain = spark.range(100_000).selectExpr("id as source", "id + 1 as target")
+    ring = spark.range(100_000).selectExpr("1000000 + id as source", "1000000 + (id + 1) % 100000 as target")
+    found = graph.strongly_connected(chain.unionByName(ring), max_rounds=10)
+    got = found.groupBy((F.col("node") >= 1_000_000).alias("ring")).agg(F.count_distinct("component").alias("n"), F.count("*").alias("of")).collect()
+    assert sorted(tuple(r) for r in got) == [(False, 100_001, 100_001), (True, 1, 100_000)]
+    assert graph.strongly_connected(chain.limit(0)).count() == 0
+
+
 def test_whiteouts(spark):
     entries = [
         (0, "a/x", 1), (0, "a/y", 1), (0, "b/z", 1), (0, "b/c/d", 1), (0, "top", 1),
