@@ -20,8 +20,8 @@ def query(sql: str | None):
 
 
 @query("""WITH d AS (SELECT doc_id AS id, octet_length(encode(coalesce(text, ''))) AS n, doc_id % 4 AS k FROM documents),
-m(k, algorithm, at) AS (VALUES (0, 'SHA-1', 0), (0, 'MD5', 23), (1, 'ChaCha20', 1), (1, 'ChaCha20', 17), (2, 'AES', 0), (2, 'AES', 32), (2, 'Blowfish', 70))
-SELECT id, algorithm, CAST(n + at AS BIGINT) AS "offset" FROM d JOIN m USING (k)""")
+m(k, algorithm, place) AS (VALUES (0, 'SHA-1', 0), (0, 'MD5', 23), (1, 'ChaCha20', 1), (1, 'ChaCha20', 17), (2, 'AES', 0), (2, 'AES', 32), (2, 'Blowfish', 70))
+SELECT id, algorithm, CAST(n + place AS BIGINT) AS "offset" FROM d JOIN m USING (k)""")
 def constants_in_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where tables and initial values of algorithms stand: the bytes of documents, with some of them behind the text."""
     # SHA-1 and MD5 with three bytes between, ChaCha20 twice, two spellings of AES and Blowfish, or the first bytes of one only.
@@ -45,7 +45,8 @@ def transform_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of lattice schemes in made-up binaries of parts: a whole one, a part of one that is long enough, one that is too short, and none."""
     p = F.col("p_partkey")
     kem, dsa = _table("ML-KEM"), _table("ML-DSA")
-    blobs = [kem, dsa, kem[: 4 * 32] + "00" * 80, kem[: 4 * 20] + "00" * 80, "0d" * 300]
+    rest = "00" * 80  # so that nothing behind it is near
+    blobs = [kem + rest, dsa + rest, kem[: 4 * 32] + rest, kem[: 4 * 20] + rest, "0d" * 300]
     content = F.concat(F.unhex(F.repeat(F.lit("fe"), (p % 7).cast("int"))), F.unhex(pick(blobs, p % 5)), F.encode("p_name", "UTF-8"), F.unhex(F.lit("ff" * 8)))
     return byteseries.find_tables(table(spark, sf_dir, "part").select(p.alias("id"), content.alias("content")))
 
