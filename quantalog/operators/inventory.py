@@ -9,7 +9,8 @@ from quantalog.functions import constants as K
 from quantalog.functions.text import common_name
 from quantalog.operators.drift import is_internal
 from quantalog.operators.numbering import placed
-from quantalog.operators.scoring import lookup
+from quantalog.operators.scoring import lookup, scored
+from quantalog.operators.taxonomy import algorithm_facts
 
 
 def given(*columns: Column) -> Column:
@@ -99,12 +100,36 @@ def progress(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def simulated(assets: DataFrame, target: str = "", classes: list[str] | None = None, pqc_only: bool = False) -> DataFrame:
-    """What a migration of the selected assets would change: id, replacement, qirs before and after. Needs that no algorithm meets aren't simulated."""
+    """What a migration of the selected assets would change: id, need, replacement, scores before and after, what stays vulnerable and behind.
+
+    assets: scored ones, with what the scores are made of. An asset with a replacement is classified again by that name and scored
+    by the same operator as before. Needs that no algorithm meets aren't simulated: these assets keep their scores.
+    """
     chosen = assets.where("quantum_vulnerable").where(F.lower("host").contains(target.lower()))
     chosen = chosen.where(F.col("asset_class").isin(*classes)) if classes else chosen
     swap = F.when(F.col("need").isin(*K.MIGRATION_NEEDS, "replace_now"), lookup({k: v[0] for k, v in K.TARGETS.items()}, F.col("need")))
     half = F.when(F.lit(pqc_only) & swap.endswith("MLKEM768") & ~swap.startswith("ML"), "ML-KEM-768").otherwise(swap)
-    return chosen.select("id", "need", half.alias("replacement"), F.col("qirs").alias("before"), F.when(half.isNull(), F.col("qirs")).otherwise(0.0).alias("after"))
+    names = sorted({v[0] for v in K.TARGETS.values() if v[0]} | {"ML-KEM-768"})
+    facts = algorithm_facts(F.col("replacement"), F.lit(None).cast("int"))
+    known = assets.sparkSession.createDataFrame([(n,) for n in names], "replacement string").select("replacement", facts["verdict"].alias("new_verdict"))
+    kept = ["h_score", "t_score", "qirs", "behind"]
+    before = chosen.withColumn("replacement", half).join(F.broadcast(known), "replacement", "left").withColumnsRenamed({c: f"{c}_before" for c in kept})
+    moved = F.col("replacement").isNotNull()
+    again = scored(before.withColumn("quantum_vulnerable", ~moved | (F.col("new_verdict") == "shor")))
+    return again.select(
+        "id", "need", "replacement", F.col("qirs_before").alias("before"), F.col("qirs").alias("after"), "h_score_before", F.col("h_score").alias("h_score_after"), "t_score_before", F.col("t_score").alias("t_score_after"),
+        F.col("quantum_vulnerable").alias("still_vulnerable"), "behind_before", (F.col("behind_before") & F.col("quantum_vulnerable")).alias("behind_after"),
+    )
+
+
+def effect(changes: DataFrame) -> DataFrame:
+    """One row: how many assets were selected, moved and skipped, and means, maxima and counts before and after, with the reduction in percent."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(38,10)")).cast("double"), 6)
+    out = changes.agg(
+        F.count("*").alias("selected"), F.count("replacement").alias("moved"), F.count_if(F.col("replacement").isNull()).alias("skipped"), mean("before").alias("qirs_before"), mean("after").alias("qirs_after"), mean("h_score_before").alias("h_before"), mean("h_score_after").alias("h_after"),
+        mean("t_score_before").alias("t_before"), mean("t_score_after").alias("t_after"), F.max("before").alias("most_before"), F.max("after").alias("most_after"), F.count_if("still_vulnerable").alias("vulnerable_after"), F.count_if("behind_before").alias("behind_before"), F.count_if("behind_after").alias("behind_after"),
+    )
+    return out.withColumn("reduction_pct", F.when(F.col("qirs_before") > 0, F.round((F.col("qirs_before") - F.col("qirs_after")) / F.col("qirs_before") * 100, 1)).otherwise(0.0))
 
 
 def notifications(assets: DataFrame, not_run: DataFrame) -> DataFrame:

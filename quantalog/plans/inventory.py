@@ -119,6 +119,16 @@ def hybrid_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce("replacement", F.lit("(not simulated)")).alias("replacement")).agg(F.count("*").alias("n"), mean("before"), mean("after"))
 
 
+@query(f"""WITH {ASSETS_SQL}, s AS (SELECT *, CASE WHEN need IN {(*K.MIGRATION_NEEDS, 'replace_now')} THEN {_TARGET} END AS r FROM assets WHERE quantum_vulnerable AND contains(host, 'h2')),
+t AS (SELECT r, qirs, h_score, t_score, behind, CASE WHEN r IS NULL THEN qirs ELSE 0.0 END AS q2, CASE WHEN r IS NULL THEN h_score ELSE 0.0 END AS h2, CASE WHEN r IS NULL THEN t_score ELSE 0.0 END AS t2 FROM s),
+m AS (SELECT count(*) AS selected, count(r) AS moved, CAST(count_if(r IS NULL) AS BIGINT) AS skipped, {", ".join(f"round(CAST(avg(CAST({c} AS DECIMAL(38, 10))) AS DOUBLE), 6) AS {n}" for c, n in (("qirs", "qirs_before"), ("q2", "qirs_after"), ("h_score", "h_before"), ("h2", "h_after"), ("t_score", "t_before"), ("t2", "t_after")))},
+  max(qirs) AS most_before, CAST(max(q2) AS DOUBLE) AS most_after, CAST(count_if(r IS NULL) AS BIGINT) AS vulnerable_after, CAST(count_if(behind) AS BIGINT) AS behind_before, CAST(count_if(behind AND r IS NULL) AS BIGINT) AS behind_after FROM t)
+SELECT *, CASE WHEN qirs_before > 0 THEN round((qirs_before - qirs_after) / qirs_before * 100, 1) ELSE 0.0 END AS reduction_pct FROM m""")
+def migration_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a simulated migration of the hosts of one name does to scores, slack and exposure: they are classified and scored again."""
+    return inventory.effect(inventory.simulated(scored(spark, sf_dir), "h2"))
+
+
 @query(f"""WITH {ASSETS_SQL}, o AS (SELECT CAST(count_if(expiry_days < 0) AS BIGINT) AS a, CAST(count_if(expiry_days BETWEEN 0 AND 30) AS BIGINT) AS b, CAST(count_if(expiry_days BETWEEN 31 AND 90) AS BIGINT) AS c, CAST(count_if(slack_months < 0) AS BIGINT) AS d, min(slack_months) AS w FROM assets), n AS (SELECT count(*) AS blind FROM nation WHERE n_nationkey % 6 = 5)
 SELECT 'expiry' AS kind, CASE WHEN a + b > 0 THEN 'critical' ELSE 'warning' END AS severity, a + b + c AS n, format('{{}} expired, {{}} critical, {{}} warning', a, b, c) AS body FROM o WHERE a + b + c > 0 UNION ALL SELECT 'negative-slack', 'critical', d, printf('worst slack %.1f months', w) FROM o WHERE d > 0 UNION ALL SELECT 'blind-spots', 'warning', blind, format('{{}} sensors never ran', blind) FROM n WHERE blind > 0""")
 def estate_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
