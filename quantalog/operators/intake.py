@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantalog.operators.checkpoints import written
+
 # Attribute names that may carry key material. Fixed values.
 FORBIDDEN = (
     "CKA_VALUE", "CKA_PRIVATE_EXPONENT", "CKA_PRIME_1", "CKA_PRIME_2", "CKA_EXPONENT_1", "CKA_EXPONENT_2", "CKA_COEFFICIENT",
@@ -63,14 +65,38 @@ def stamped(existing: Column, stamp: Column) -> Column:
     return F.map_concat(existing, F.map_filter(stamp, lambda k, v: ~F.array_contains(have, k)))
 
 
+#: Letters of the parts that references and names meet by.
+GRAM = 3
+
+
+def _grams(text: Column, size: int | Column) -> Column:
+    """All different parts of a text with so many letters."""
+    last = F.length(text) - size + 1
+    parts = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size if isinstance(size, Column) else F.lit(size)))
+    return F.when(last >= 1, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+
 def tiered_lookup(refs: DataFrame, names: DataFrame) -> DataFrame:
     """ref, id, tier: 1 same name, 2 same name but for case, 3 a part of just one name; id is null where several have it.
 
-    A stated set of references against all names; the references are sent along.
+    References that equal a name are found by equality. The others meet the names by the one of their three-letter parts that fewest names
+    have, and are compared with these only. Null and empty references find nothing.
     """
-    ref, name = F.col("ref"), F.col("name")
-    tier = F.when(name == ref, 1).when(F.lower(name) == F.lower(ref), 2).otherwise(3)
-    found = names.join(F.broadcast(refs), F.contains(F.lower(name), F.lower(ref))).groupBy("ref", tier.alias("tier")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    r = refs.select("ref", F.lower("ref").alias("low")).where("ref <> ''").distinct()
+    n = names.select("id", "name", F.lower("name").alias("whole"))
+    tier = F.when(F.col("name") == F.col("ref"), 1).otherwise(2)
+    same = written(r.join(n, F.col("low") == F.col("whole")).groupBy("ref", tier.alias("tier")).agg(F.count("*").alias("n"), F.min("id").alias("id")), "same")
+    rest = written(r.join(same, "ref", "left_anti").withColumn("size", F.least(F.length("low"), F.lit(GRAM))), "rest")
+    sizes = [x.size for x in rest.select("size").distinct().collect()]  # GRAM values at most
+    found = same
+    if sizes:
+        wanted = written(rest.select("ref", "low", F.explode(_grams(F.col("low"), F.col("size"))).alias("gram")), "wanted")
+        parts = n.select("id", "whole", F.explode(F.concat(*[_grams(F.col("whole"), k) for k in sizes])).alias("gram"))
+        parts = written(parts.join(wanted.select("gram").distinct(), "gram", "left_semi"), "parts")
+        counts = parts.groupBy("gram").agg(F.count("*").alias("names"))
+        rarest = wanted.join(counts, "gram", "left").groupBy("ref", "low").agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), "gram")).alias("gram"))
+        inside = rarest.join(parts, "gram").where(F.contains("whole", "low")).groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        found = same.unionByName(inside.withColumn("tier", F.lit(3)))
     best = found.groupBy("ref").agg(F.min_by(F.struct("tier", "n", "id"), "tier").alias("b"))
     return best.select("ref", F.when((F.col("b.tier") < 3) | (F.col("b.n") == 1), F.col("b.id")).alias("id"), "b.tier")
 

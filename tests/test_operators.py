@@ -154,6 +154,22 @@ def test_long_chain_and_ring_in_few_rounds(spark):
     assert graph.strongly_connected(chain.limit(0)).count() == 0
 
 
+def test_tiered_lookup(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abAB é") for _ in range(rng.randint(0, 7)))
+    names = [(i, word()) for i in range(120)] + [(200, None), (201, "unique name"), (202, "")]
+    refs = [word() for _ in range(60)] + ["UNIQUE", "que", "a", "B", "xy", "", None, "unique name"]
+    expected = {}
+    for ref in {r for r in refs if r}:
+        for tier, fits in ((1, lambda n: n == ref), (2, lambda n: n.lower() == ref.lower()), (3, lambda n: ref.lower() in n.lower())):
+            if hits := [i for i, n in names if n is not None and fits(n)]:
+                expected[ref] = (min(hits) if tier < 3 or len(hits) == 1 else None, tier)
+                break
+    got = intake.tiered_lookup(spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame(names, "id long, name string"))
+    assert {r.ref: (r.id, r.tier) for r in got.collect()} == expected
+    assert intake.tiered_lookup(got.select("ref").limit(0), spark.createDataFrame(names, "id long, name string")).count() == 0
+
+
 def test_whiteouts(spark):
     entries = [
         (0, "a/x", 1), (0, "a/y", 1), (0, "b/z", 1), (0, "b/c/d", 1), (0, "top", 1),
