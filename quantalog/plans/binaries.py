@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalog.operators import byteseries
+from quantalog.operators import byteseries, controlflow
 from quantalog.sources.estate import pick, table
 
 QUERIES: dict[str, tuple] = {}
@@ -51,6 +51,50 @@ def transform_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byteseries.find_tables(table(spark, sf_dir, "part").select(p.alias("id"), content.alias("content")))
 
 
+# Instructions of functions of twelve, by the numbers of events: kinds, and where branches lead (past the function too).
+_CODE_SQL = """i AS (SELECT event_id // 12 AS func, event_id % 12 AS addr, ['mov', 'cbr', 'alu', 'alu', 'jmp', 'mov', 'cbr', 'ret', 'mov'][CAST(event_id * 7 % 9 AS INTEGER) + 1] AS cls, CASE WHEN event_id * 7 % 9 IN (1, 4, 6) THEN event_id * 5 % 14 END AS target FROM events),
+l AS (SELECT *, coalesce(lag(cls) OVER o IN ('cbr', 'jmp', 'ret'), true) OR EXISTS (SELECT 1 FROM i j WHERE j.func = i.func AND j.target = i.addr AND j.addr <> j.target) AS leads FROM i WINDOW o AS (PARTITION BY func ORDER BY addr)),
+k AS (SELECT func, addr, cls, target, CAST(count_if(leads) OVER (PARTITION BY func ORDER BY addr) - 1 AS BIGINT) AS block FROM l), z AS (SELECT func, block, arg_max(cls, addr) AS cls, arg_max(target, addr) FILTER (target IS NOT NULL) AS target, max(addr) AS addr FROM k GROUP BY func, block),
+e AS (SELECT DISTINCT z.func, z.block AS a, k.block AS b FROM z JOIN k ON k.func = z.func AND k.addr = z.target WHERE z.cls IN ('cbr', 'jmp') UNION SELECT z.func, z.block, y.block FROM z JOIN z y ON y.func = z.func AND y.block = z.block + 1 WHERE z.cls NOT IN ('jmp', 'ret'))"""
+
+
+def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kind = e * 7 % 9
+    rows = table(spark, sf_dir, "events").select(F.floor(e / 12).alias("func"), (e % 12).alias("addr"), pick(["mov", "cbr", "alu", "alu", "jmp", "mov", "cbr", "ret", "mov"], kind).alias("cls"), F.when(kind.isin(1, 4, 6), e * 5 % 14).alias("target"))
+    return controlflow.blocks(rows)
+
+
+@query(f"WITH {_CODE_SQL} SELECT func, block, count(*) AS instructions, min(addr) AS first, arg_max(cls, addr) AS ends FROM k GROUP BY func, block")
+def basic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instructions(spark, sf_dir).groupBy("func", "block").agg(F.count("*").alias("instructions"), F.min("addr").alias("first"), F.max_by("cls", "addr").alias("ends"))
+
+
+@query(f"WITH {_CODE_SQL} SELECT * FROM e")
+def control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where control may go from each block."""
+    return controlflow.flow(instructions(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_CODE_SQL}, r AS (SELECT * FROM e UNION SELECT r.func, r.a, e.b FROM r JOIN e ON e.func = r.func AND e.a = r.b) SELECT x.func, min(y.a) AS loop, x.a AS block FROM r x JOIN r y ON y.func = x.func AND y.a = x.b AND y.b = x.a GROUP BY x.func, x.a")
+def code_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that control comes back to."""
+    return controlflow.loops(controlflow.flow(instructions(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_CODE_SQL}, g AS (SELECT DISTINCT func, block, addr * 5 % 3 AS reg FROM k WHERE cls IN ('mov', 'alu')),
+w AS (SELECT func, block, addr * 5 % 3 AS reg, min(addr) AS w FROM k WHERE cls IN ('mov', 'alu') GROUP BY ALL), u AS (SELECT func, block, (addr + 1) % 3 AS reg, min(addr) AS r FROM k WHERE cls <> 'mov' GROUP BY ALL),
+n AS (SELECT e.func, e.b, g.reg, g.block AS d FROM g JOIN e ON e.func = g.func AND e.a = g.block UNION SELECT n.func, e.b, n.reg, n.d FROM n JOIN e ON e.func = n.func AND e.a = n.b WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.func = n.func AND g.block = n.b AND g.reg = n.reg))
+SELECT DISTINCT n.func, n.d AS a, n.b FROM n JOIN u ON u.func = n.func AND u.block = n.b AND u.reg = n.reg LEFT JOIN w ON w.func = n.func AND w.block = n.b AND w.reg = n.reg WHERE n.d <> n.b AND (w.w IS NULL OR u.r <= w.w)""")
+def reaching_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which block's writes reach reads of which block."""
+    rows = instructions(spark, sf_dir)
+    reg = lambda number, wrote: F.struct(number.alias("reg"), F.lit(wrote).alias("written"))
+    both = F.array_compact(F.array(F.when(F.col("cls").isin("mov", "alu"), reg(F.col("addr") * 5 % 3, True)), F.when(F.col("cls") != "mov", reg((F.col("addr") + 1) % 3, False))))
+    registers = rows.select("func", "addr", F.explode(both).alias("x")).select("func", "addr", "x.*")
+    return controlflow.reaching(rows, controlflow.flow(rows), registers)
+
+
 def queries():
     return {name: f for name, (f, _) in QUERIES.items()}
 
