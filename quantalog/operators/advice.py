@@ -42,7 +42,8 @@ def usage_of(usage: Column) -> Column:
 
 
 def with_ownership(assets: DataFrame) -> DataFrame:
-    """Adds fixer (who can change it) and fixer_name: as recorded, else blocked by a token, else lacking at the provider, else outside the register."""
+    """Adds fixer (who can change it) and fixer_name: as recorded, else blocked by a token (or one that isn't ready), else lacking at the provider, else outside the register."""
+    blocked = F.coalesce(F.col("change_blocked"), F.lit(False)) | F.coalesce(~F.col("hsm_pqc_ready"), F.lit(False))
     provider = F.when(F.col("discovered_by").contains("cloud_kms"), provider_of(F.col("resource")))
     named = F.coalesce(*[F.when(F.col("_provider") == k, name) for k, (name, _) in K.PROVIDERS.items()])
     offers = F.coalesce(*[F.when(F.col("_provider") == k, F.col("_usage").isin(*usages) if usages else F.lit(False)) for k, (_, usages) in K.PROVIDERS.items()])
@@ -51,14 +52,14 @@ def with_ownership(assets: DataFrame) -> DataFrame:
     rows = assets.withColumns({"_provider": provider, "_usage": usage_of(F.col("key_usage"))})
     fixer = (
         F.when(F.col("recorded").isin(*RECORDED), F.col("recorded"))
-        .when(F.col("change_blocked"), "vendor_firmware_gated")
+        .when(blocked, "vendor_firmware_gated")
         .when(asks, F.when(offers, "self_managed").otherwise("provider_gated"))
         .when(seen & F.col("system").isNull(), "third_party")
         .otherwise("self_managed")
     )
     name = (
         F.when(F.col("recorded").isin(*RECORDED), F.coalesce("owner_name", F.lit("")))
-        .when(F.col("change_blocked"), F.coalesce("hsm_model", F.lit("HSM vendor")))
+        .when(blocked, F.coalesce("hsm_model", "hsm_token", F.lit("HSM vendor")))
         .when(asks, F.when(offers, F.coalesce("owner_name", F.lit("Key owner"))).otherwise(named))
         .when(seen & F.col("system").isNull(), F.col("resource"))
         .otherwise(F.coalesce("system", "owner_name", F.lit("Owning team")))

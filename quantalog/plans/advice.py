@@ -34,6 +34,7 @@ def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("id"), F.when(s % 13 != 0, F.col("system")).alias("system"), "asset_class", "need", "quantum_vulnerable", "source_type", "y", "deadline_year", "pqc_capable",
         pick(SENSORS, (p + s) % 5).alias("discovered_by"), pick(RESOURCES, p % 4).alias("resource"), F.when(p % 3 == 0, "SIGN_VERIFY").when(p % 3 == 1, "ENCRYPT_DECRYPT").alias("key_usage"),
         F.when(F.col("ownership") != "self", F.col("ownership")).alias("recorded"), F.when(p % 7 != 0, F.col("owner")).alias("owner_name"), ((p + n) % 11 == 0).alias("change_blocked"), F.when(s % 3 != 0, F.concat(F.lit("HSM "), (s % 3).cast("string"))).alias("hsm_model"),
+        F.when(p % 17 == 3, False).when(p % 17 == 4, True).alias("hsm_pqc_ready"), F.when(p % 2 == 0, F.concat(F.lit("Token "), (p % 5).cast("string"))).alias("hsm_token"),
         F.when(p % 4 == 1, "java").when(p % 4 == 2, "c").when(p % 4 == 3, "python").alias("language"), F.when(s % 4 == 0, "maven").when(s % 4 == 1, "pypi").when(s % 4 == 2, "deb").alias("ecosystem"),
         F.when(s % 10 == 7, "17").alias("runtime"), F.when(s % 9 == 4, "bundled").alias("linkage"), F.when(s % 2 == 0, "openjdk").otherwise("openssl").alias("library"), F.when(s % 5 != 0, F.concat(F.lit("release "), (s % 5).cast("string"))).alias("upgrade_path"),
     )
@@ -42,7 +43,7 @@ def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLANES = " ".join(f"WHEN contains(lower(discovered_by), '{a}') THEN '{b}'" for a, b, _ in K.SENSORS)
 DETAILED_SQL = f"""{ASSETS_SQL}, det AS (SELECT id || '/' || CAST(partkey AS VARCHAR) || '/' || CAST(suppkey AS VARCHAR) AS id, CASE WHEN suppkey % 13 <> 0 THEN system END AS system, asset_class, need, quantum_vulnerable, y, deadline_year, pqc_capable,
   {pick_sql(SENSORS, "(partkey + suppkey) % 5")} AS discovered_by, {pick_sql(RESOURCES, "partkey % 4")} AS resource, CASE partkey % 3 WHEN 0 THEN 'signing' ELSE 'encryption' END AS usage2, CASE WHEN ownership <> 'self' THEN ownership END AS recorded, CASE WHEN partkey % 7 <> 0 THEN owner END AS owner_name,
-  (partkey + line) % 11 = 0 AS change_blocked, CASE WHEN suppkey % 3 <> 0 THEN 'HSM ' || CAST(suppkey % 3 AS VARCHAR) END AS hsm_model, CASE partkey % 4 WHEN 1 THEN 'java' WHEN 3 THEN 'python' ELSE 'native' END AS stack,
+  (partkey + line) % 11 = 0 OR partkey % 17 = 3 AS change_blocked, CASE WHEN suppkey % 3 <> 0 THEN 'HSM ' || CAST(suppkey % 3 AS VARCHAR) WHEN partkey % 2 = 0 THEN 'Token ' || CAST(partkey % 5 AS VARCHAR) END AS hsm_model, CASE partkey % 4 WHEN 1 THEN 'java' WHEN 3 THEN 'python' ELSE 'native' END AS stack,
   CASE WHEN suppkey % 10 = 7 THEN CASE WHEN suppkey % 2 = 0 THEN 'java' ELSE 'native' END WHEN suppkey % 9 = 4 THEN 'java' WHEN suppkey % 4 = 0 THEN 'java' WHEN suppkey % 4 = 1 THEN 'python' ELSE 'native' END AS lib_stack,
   CASE WHEN suppkey % 5 <> 0 THEN 'release ' || CAST(suppkey % 5 AS VARCHAR) ELSE 'Upgrade ' || CASE WHEN suppkey % 2 = 0 THEN 'openjdk' ELSE 'openssl' END END AS step FROM assets),
 own AS (SELECT *, CASE WHEN recorded IS NOT NULL THEN recorded WHEN change_blocked THEN 'vendor_firmware_gated' WHEN discovered_by = 'vault_cloud_kms' AND resource <> 'local' AND quantum_vulnerable THEN CASE WHEN usage2 = 'signing' AND resource NOT LIKE '%azure%' THEN 'self_managed' ELSE 'provider_gated' END
@@ -65,11 +66,11 @@ def recommendation_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.tallies(recommendations(spark, sf_dir))
 
 
-@query(f"WITH {DETAILED_SQL} SELECT id FROM det WHERE quantum_vulnerable AND id NOT IN (SELECT id FROM rec WHERE need <> 'library_upgrade')")
+@query(f"WITH {DETAILED_SQL} SELECT id FROM det WHERE quantum_vulnerable AND id NOT IN (SELECT id FROM rec)")
 def uncovered_vulnerable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vulnerable assets for which no change of the algorithm itself is recommended."""
+    """Vulnerable assets for which nothing is recommended."""
     rows = written(detailed(spark, sf_dir), "detailed")
-    return advice.uncovered(rows, advice.recommended(rows).where("need <> 'library_upgrade'"))
+    return advice.uncovered(rows, advice.recommended(rows))
 
 
 @query(f"""WITH {DETAILED_SQL}, g AS (SELECT fixer AS kind, fixer_name AS supplier, count(*) AS affects, array_to_string(list_sort(list(DISTINCT target)), ', ') AS capabilities, array_to_string(list_sort(list(DISTINCT target) FILTER (regexp_matches(target, 'ML-|SLH|LMS|X25519MLKEM'))), ', ') AS named, min(deadline_year) AS earliest
