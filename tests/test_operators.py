@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,17 @@ def test_delta_and_overlap(spark):
     assert joins.overlap(old, new.where("id = 4")).first().warning
 
 
+def test_ranking_of_snapshots_rounds_as_sql_does(spark, tmp_path):
+    """Prices on a half of the last place, some of which lie below it in binary."""
+    prices = [1e4 * n / 2 + 50.0 for n in range(1, 80)] + [float(n) for n in (32350, 32349, 32351)]
+    orders = [(n, prices[n % len(prices)], "1-URGENT", "O") for n in range(400)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double, o_orderpriority string, o_orderstatus string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    expected = con.sql(f"SELECT id, kind, places FROM ({evidence.oracle_sql()['rank_diff']})").fetchall()
+    assert sorted((r.id, r.kind, 10**6 if r.places is None else r.places) for r in evidence.rank_diff(spark, str(tmp_path)).collect()) == sorted((i, k, 10**6 if p is None else p) for i, k, p in expected)
+
+
 def test_chain(spark):
     import hashlib
 
