@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quantalog.operators.checkpoints import written
 
@@ -34,12 +36,13 @@ CONSTANTS = [
 WINDOW_BYTES, MOST_PATTERN_BYTES = 1 << 20, 1 << 20
 
 
-def _parts(df: DataFrame, id_col: str, content_col: str, own: int, more: int) -> DataFrame:
-    """id, row, start, own (bytes that this part answers for), part (with `more` bytes of what follows)."""
+def _parts(df: DataFrame, id_col: str, content_col: str, own: int, more: int, less: int = 0) -> DataFrame:
+    """id, row, start, own (bytes that this part answers for), from (its first byte), part (with up to `less` bytes of what is before and `more` of what follows)."""
     rows = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(content_col).alias("content")).where("length(content) > 0")
     starts = F.sequence(F.lit(0), F.length("content") - 1, F.lit(own))
-    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(F.col("content"), s + 1, F.lit(own + more)).alias("part")))
-    return rows.select("id", "row", F.explode(cut).alias("w")).select("id", "row", F.col("w.start").alias("start"), F.least(F.lit(own), F.length("w.part")).alias("own"), F.col("w.part").alias("part"))
+    first = lambda s: F.greatest(s - less, F.lit(0))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), first(s).alias("from"), F.substring(F.col("content"), first(s) + 1, s - first(s) + own + more).alias("part")))
+    return rows.select("id", "row", F.explode(cut).alias("w")).select("id", "row", F.col("w.start").alias("start"), F.least(F.lit(own), F.length("w.part") - F.col("w.start") + F.col("w.from")).alias("own"), F.col("w.from").alias("from"), F.col("w.part").alias("part"))
 
 
 def find_all(df: DataFrame, patterns: list[tuple[str, bytes]], most: int = 16, id_col: str = "id", content_col: str = "content", window: int = WINDOW_BYTES) -> DataFrame:
@@ -102,41 +105,62 @@ def transform_tables(spark: SparkSession) -> DataFrame:
     return out
 
 
-def _integers(content: Column, width: int) -> Column:
-    """at (byte) and value of the little-endian integer that begins at each byte."""
-    last = F.length(content) - width
-    byte = lambda at, n: F.conv(F.hex(F.substring(content, at + n + 1, F.lit(1))), 16, 10).cast("bigint")
-    value = lambda at: sum((byte(at, n) * (1 << (8 * n)) for n in range(1, width)), byte(at, 0))
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda at: F.struct(at.alias("at"), value(at).alias("value"))))
+def _pieces(part: bytes, first: int, start: int, own: int, width: int, known: np.ndarray) -> Iterator[tuple]:
+    """align, the least and greatest run with a hit, and the first byte, last byte and number of the entries in this part's own bytes, for each table in it.
+
+    Runs go by the number of their first integer. `part` has what comes RUN - 1 integers before and after its own bytes, so all runs
+    that an own entry may be in are seen.
+    """
+    for skip in range(min(width, len(part) - RUN * width + 1)):
+        values = np.frombuffer(part, f"<u{width}", (len(part) - skip) // width, skip)
+        entry = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+        sums = np.concatenate(([0], np.cumsum(entry)))
+        runs = np.flatnonzero(sums[RUN:] - sums[:-RUN] >= MATCH)
+        if not len(runs):
+            continue
+        inside = np.sort(np.lib.stride_tricks.sliding_window_view(np.where(entry, values.astype("i8"), -1), RUN)[runs], axis=1)
+        runs = runs[(inside[:, 0] >= 0).astype(int) + ((inside[:, 1:] != inside[:, :-1]) & (inside[:, 1:] >= 0)).sum(axis=1) >= DISTINCT]
+        at = first + skip + np.arange(len(values)) * width
+        mine, n = entry & (at >= start) & (at < start + own), (first + skip) // width
+        for hits in np.split(runs, np.flatnonzero(np.diff(runs) > RUN) + 1) if len(runs) else ():
+            within = hits[np.searchsorted(hits, np.arange(hits[0], hits[-1] + RUN), side="right") - 1] + RUN > np.arange(hits[0], hits[-1] + RUN)
+            held = at[hits[0] : hits[-1] + RUN][within & mine[hits[0] : hits[-1] + RUN]]
+            yield (first + skip) % width, n + hits[0], n + hits[-1], *((held[0], held[-1]) if len(held) else (None, None)), len(held)
 
 
 def find_tables(df: DataFrame, id_col: str = "id", content_col: str = "content", window: int = 1 << 16) -> DataFrame:
     """id, scheme, offset, length (bytes), matched (entries): where content holds a table of a transform, in any order and with gaps.
 
     RUN integers in a row are a hit where MATCH of them are entries and DISTINCT of these differ. Hits that overlap or touch are one, from its
-    first entry to its last. A code that computes its table when it starts holds none.
+    first entry to its last. A code that computes its table when it starts holds none. Windows of content are searched in the tasks and
+    give a row for each table in them; rows of neighbours become one here.
     """
-    table = written(transform_tables(df.sparkSession), "tables")  # some 1,500 rows
-    content = df.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
-    sizes = content.withColumn("row", F.monotonically_increasing_id()).select("row", F.length("content").cast("bigint").alias("size"))
-    hits = []
-    for scheme, *_, width in TRANSFORMS:
-        parts = _parts(df, id_col, content_col, window, width - 1)
-        own = F.filter(_integers(F.col("part"), width), lambda x: x["at"] < F.col("own"))
-        each = parts.select("id", "row", "start", F.explode(own).alias("x")).select("id", "row", (F.col("start") + F.col("x.at")).cast("bigint").alias("at"), F.col("x.value").alias("value"))
-        entries = each.join(F.broadcast(table.where(F.col("scheme") == scheme).select("value")), "value", "left_semi")
-        hits.append(entries.select(F.lit(scheme).alias("scheme"), F.lit(width).cast("bigint").alias("width"), "id", "row", "at", "value"))
-    entries = written(hits[0].unionByName(hits[1]), "entries")
-    # Each entry with the windows that hold it, by the number of their first integer.
+    known: dict[tuple, list] = {}
+    for r in transform_tables(df.sparkSession).collect():  # some 1,500 rows
+        known.setdefault((r.scheme, r.width), []).append(r.value)
+    schemes = [(scheme, width, np.array(sorted(values), f"<u{width}")) for (scheme, width), values in known.items()]
+    widest = max(width for _, width, _ in schemes)
+    kind = df.schema[id_col].dataType
+    fields = "scheme string, width long, row long, align long, least long, greatest long, first long, last long, matched long"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], []
+            for i, (row, start, own, first, part) in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)):
+                for scheme, width, values in schemes:
+                    for piece in _pieces(bytes(part), first, start, own, width, values):
+                        of.append(i)
+                        out.append((scheme, width, row, *piece))
+            columns = zip(*out, strict=True) if out else [()] * 9
+            types = [pa.string(), *[pa.int64()] * 8]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array([x if x is None or t == pa.string() else int(x) for x in c], t) for c, t in zip(columns, types, strict=True)]], names=["id", *[f.split()[0] for f in fields.split(", ")]])
+
+    parts = _parts(df, id_col, content_col, window, RUN * widest - 1, (RUN - 1) * widest).select("id", "row", *[F.col(c).cast("long") for c in ("start", "own", "from")], "part")
+    schema = StructType([StructField("id", kind), *[StructField(n, StringType() if t == "string" else LongType()) for n, t in map(str.split, fields.split(", "))]])
+    pieces = written(parts.mapInArrow(search, schema), "pieces")
     by = ["scheme", "width", "row", "align"]
-    placed = entries.join(sizes, "row").withColumns({"align": F.pmod("at", F.col("width")), "n": F.floor(F.col("at") / F.col("width"))})
-    last = F.floor((F.col("size") - F.col("align")) / F.col("width")) - RUN
-    first = F.greatest(F.lit(0).cast("bigint"), F.col("n") - RUN + 1)
-    held = placed.where(last >= first).select("id", *by, "at", "n", "value", F.explode(F.sequence(first, F.least("n", last))).alias("i"))
-    good = held.groupBy(*by, "i").agg(F.count("*").alias("m"), F.count_distinct("value").alias("d")).where((F.col("m") >= MATCH) & (F.col("d") >= DISTINCT))
-    order = Window.partitionBy(*by).orderBy("i")
-    apart = F.coalesce((F.col("i") > F.lag("i").over(order) + RUN).cast("int"), F.lit(1))
-    spans = good.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order)).select(*by, "i", "span")
-    members = held.join(spans, [*by, "i"]).select("id", *by, "span", "at").distinct()
-    found = members.groupBy("id", *by, "span").agg(F.min("at").alias("offset"), (F.max("at") + F.max("width") - F.min("at")).alias("length"), F.count("*").alias("matched"))
+    order = Window.partitionBy(*by).orderBy("least", "greatest")
+    before = F.max("greatest").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = pieces.withColumn("apart", F.coalesce((F.col("least") > before + RUN).cast("int"), F.lit(1))).withColumn("span", F.sum("apart").over(order))
+    found = spans.groupBy("id", *by, "span").agg(F.min("first").alias("offset"), (F.max("last") + F.max("width") - F.min("first")).alias("length"), F.sum("matched").alias("matched"))
     return found.select("id", "scheme", "offset", "length", "matched")

@@ -48,7 +48,8 @@ def transform_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = "00" * 80  # so that nothing behind it is near
     blobs = [kem + rest, dsa + rest, kem[: 4 * 32] + rest, kem[: 4 * 20] + rest, "0d" * 300]
     content = F.concat(F.unhex(F.repeat(F.lit("fe"), (p % 7).cast("int"))), F.unhex(pick(blobs, p % 5)), F.encode("p_name", "UTF-8"), F.unhex(F.lit("ff" * 8)))
-    return byteseries.find_tables(table(spark, sf_dir, "part").select(p.alias("id"), content.alias("content")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(spark.sparkContext.defaultParallelism)  # some bytes a row in few files, which become a thousand
+    return byteseries.find_tables(parts.select(p.alias("id"), content.alias("content")))
 
 
 # Instructions of functions of twelve, by the numbers of events: kinds, and where branches lead (past the function too).

@@ -67,3 +67,14 @@ def test_tables_equal_a_plain_search(spark):
     assert len({e[0] for e in expected}) >= 6
     for window in (64, 1 << 16):
         assert sorted(tuple(r) for r in byteseries.find_tables(df, window=window).collect()) == expected
+
+
+def test_tables_travel_as_rows_of_windows(spark, monkeypatch):
+    """Nothing is stored for each entry: a table of 256 entries is a row for each window that it lies in."""
+    kept, plain = [], byteseries.written
+    monkeypatch.setattr(byteseries, "written", lambda df, *a: kept.append(plain(df, *a)) or kept[-1])
+    dsa = sorted(plain_values(*byteseries.TRANSFORMS[1][1:]))[:256]
+    blob = b"\0" * 1000 + np.array(dsa, "<u4").tobytes() + b"\0" * 1000
+    found = byteseries.find_tables(spark.createDataFrame([(1, blob)], "id long, content binary"), window=512).collect()
+    assert [tuple(r) for r in found] == [(1, *hit) for hit in plain_tables(blob)]
+    assert sum(df.count() for df in kept) <= 4
