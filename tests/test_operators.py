@@ -207,6 +207,41 @@ def test_drift_rules_fire_and_hold(spark):
     assert rows(got, "rule", "asset_id") == [(f"D{n}", f"d{n}") for n in range(1, 9)]
 
 
+def expired_pairs(found, live, as_of):
+    """D6 by comparing all pairs."""
+    keys = lambda r: {k for k in (r["fingerprint"] and "fp:" + r["fingerprint"], r["serial"] and r["issuer"] and f"si:{r['serial']}|{r['issuer']}") if k}
+    out = {}
+    for h in found:
+        for o in live:
+            if h["not_after"] < as_of and keys(h) & keys(o):
+                key = (h["name"], str(h["not_after"]), o["hosts"][0])
+                out[key] = min(out.get(key, "~"), o["id"])
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 2, 32])
+def test_expired_certificates_equal_all_pairs(spark, monkeypatch, most):
+    """Names with few and with many keys, hosts by one kind of key or both, and what isn't known."""
+    monkeypatch.setattr(drift, "MOST_KEYS", most)
+    rng = random.Random(6)
+    made = lambda n, plane: {"id": f"{plane}{n:03}", "plane": plane, "name": f"n{rng.randrange(9)}", "hosts": [rng.choice(["a", "b", "c", "d", "e", None])], "fingerprint": rng.choice([None, *[c * 64 for c in "12345"]]), "serial": rng.choice([None, "1", "2", "3"]), "issuer": rng.choice(["x", "y"]), "not_after": dt.date(2025 + rng.randrange(3), 1, 1)}
+    held, live = [made(n, "held") for n in range(60)], [made(n, "observed") for n in range(40)]
+    f = spark.createDataFrame([tuple(r.values()) for r in held + live], "id string, plane string, name string, hosts array<string>, fingerprint string, serial string, issuer string, not_after date")
+    expected = expired_pairs(held, live, dt.date(2027, 1, 1))
+    got = [((r.subject, r.declared, r.observed), r.asset_id) for r in drift.expired_certificate(f, "2027-01-01").collect()]
+    assert len(got) == len(expected) and dict(got) == expected
+    assert drift.expired_count(f, "2027-01-01").first().n == len(expected)
+
+
+def test_binaries_meet_manifests_by_distinct_paths(spark):
+    """Rows of a path and version are one before they meet the manifests of all systems above it."""
+    said = [(f"m{n}", "source", f"s{n}", "/srv", None, 3) for n in range(300)]
+    built = [(f"b{n:04}", "binary", f"t{n}", None, "/srv/bin/x", 1) for n in range(2000)]
+    f = spark.createDataFrame([(*r, "openssl") for r in said + built], "id string, source_type string, system string, project string, path string, version int, library string")
+    out = drift.library_version(f)
+    assert {(r.subject, r.asset_id) for r in out.collect()} == {(f"s{n}", "b0000") for n in range(300)} and out.count() == 300
+
+
 def test_conformal_with_ties(spark):
     scores = [(1, 0, True, 0.5), (2, 0, True, 0.9), (3, 0, False, 0.5), (4, 0, False, 0.95), (5, 1, False, 0.3)]
     df = spark.createDataFrame(scores, "id long, stratum long, calibration boolean, score double")
