@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantalog.operators import cbom
-from quantalog.sources.estate import pick, table
+from quantalog.sources.estate import pick, spread, table
 
 QUERIES: dict[str, tuple] = {}
 AT = "2026-09-01T00:00:00Z"
+#: Assets of a task; their components take some hundred times the bytes of their keys.
+ASSETS = 25_000
 
 
 def query(sql: str | None):
@@ -26,7 +28,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = p.cast("string")
     of = lambda *values: pick(list(values), p % 6)
     only = lambda k, value: F.when(p % 6 == k, value)
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), ASSETS).select(
         F.concat(F.lit("a"), n).alias("id"), F.concat(F.lit("asset "), n).alias("name"), of("RSA", "AES", "X25519", "DH", None, "MD5").alias("algorithm"), of(2048, 256, None, 2048, None, None).cast("int").alias("key_size"),
         of(None, "gcm", None, None, None, None).alias("mode"), only(1, F.lit("NoPadding")).alias("padding"), of("signing", "encryption", "key_exchange", "key_exchange", None, "hashing").alias("usage"),
         of("tls_certificate", "generic_key", "tls_key_exchange", "ssh_key", "crypto_library", "source").alias("asset_class"), of("keystore", "keystore", "tls", "ssh", "dependency", "source").alias("source_type"), F.concat(F.lit("h"), n, F.lit(":443")).alias("source_location"),

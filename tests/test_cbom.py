@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantalog.operators import cbom
 from quantalog.plans import cbom as plan
@@ -69,3 +70,10 @@ def test_same_bytes_whatever_the_order(spark):
     one, two = ([tuple(r) for r in cbom.documents(cbom.components(df, plan.AT), "e", plan.AT, most=50).orderBy("number").collect()] for df in (rows, rows.repartition(7).unionByName(rows)))
     assert one and one == two
     assert all(json.loads(text)["bomFormat"] == "CycloneDX" for _, text in one)
+
+
+def test_assets_are_dealt_by_number(spark, tmp_path):
+    """A file of keys is one task; what is made of them isn't."""
+    spark.range(60_000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    dealt = plan.assets(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) >= 3 and max(r["count"] for r in dealt) <= plan.ASSETS and sum(r["count"] for r in dealt) == 60_000
