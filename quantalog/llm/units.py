@@ -21,6 +21,8 @@ SINGLE = set('.,;:!?|)(-"#$%&*+/<=>@[]^_`{}~')
 
 # Keys of the store. A unit after a space is its own key; the others carry a mark that such a unit can't start with.
 FIRST, SPLIT_FIRST, SPLIT_NEXT = "\n", "\r", "\t"
+#: Where a text has one of these, what str.split leaves after the space would pass for a key with a mark.
+MARKED = tuple(f" {mark}" for mark in (FIRST, SPLIT_FIRST, SPLIT_NEXT))
 
 
 def unit_text(key: str) -> str:
@@ -37,6 +39,12 @@ def _sure(key: str) -> bool:
     return bool(key) and not key[0].isspace() and not key[-1].isspace()
 
 
+def _parts(text: str) -> list[str]:
+    """The keys of a text that is cut only where a single space stands between two non-space characters."""
+    parts = INNER_SPACE.split(text)
+    return [SPLIT_FIRST + parts[0], *(SPLIT_NEXT + p for p in parts[1:])]
+
+
 def piece_starts(texts: list[str], data: list[bytes], find: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, byte offset) of every piece that isn't its text's first. data: the texts in UTF-8."""
     rows, offsets = [], []
@@ -89,9 +97,14 @@ class UnitStore:
 
     def index(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the units of all texts one after the other, and how many units each text has."""
-        lists = [text.split(" ") for text in texts]
-        for units in lists:
-            units[0] = FIRST + units[0]
+        lists = []
+        for text in texts:
+            if any(m in text for m in MARKED):
+                lists.append(_parts(text))
+            else:
+                units = text.split(" ")
+                units[0] = FIRST + units[0]
+                lists.append(units)
         flat = list(chain.from_iterable(lists))
         got = list(map(self.slot.get, flat))
         gaps = [i for i, n in enumerate(got) if n is None]
@@ -99,8 +112,7 @@ class UnitStore:
         if unsure := {k for k in new if not _sure(k)}:
             for i, units in enumerate(lists):
                 if not unsure.isdisjoint(units):
-                    parts = INNER_SPACE.split(texts[i])
-                    lists[i] = [SPLIT_FIRST + parts[0], *(SPLIT_NEXT + p for p in parts[1:])]
+                    lists[i] = _parts(texts[i])
             flat = list(chain.from_iterable(lists))
             got = list(map(self.slot.get, flat))
             gaps = [i for i, n in enumerate(got) if n is None]

@@ -94,6 +94,19 @@ def test_any_text(text):
     assert packing.library(JSON).encode([text])[0].tolist() == ids_of(library, text)
 
 
+@pytest.mark.parametrize("mark", ["\n", "\r", "\t"])
+def test_space_before_a_break(library, ranks, mark):
+    """A line break or tab after a space is no mark of a key: such texts keep it, whatever was met before."""
+    texts = ["9 x", f"9 {mark}9", f"9 9 {mark}x  9", f"x {mark}x y"]
+    counts, sizes = token_counts.PrefixCounter(JSON).prefix_counts(texts)
+    assert sizes.tolist() == [len(t) for t in texts]
+    assert [int(counts[n - 1]) for n in sizes.cumsum()] == [len(ids_of(library, t)) for t in texts]
+    coder = bpe.encoder(MULTI)
+    ids, lengths = coder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in ranks.encode_ordinary(t)]
+    assert coder.decode(ids, lengths)[0].tobytes() == "".join(texts).encode()
+
+
 def test_byte_bpe(spark, ranks):
     rows = bpe.decode(bpe.encode(documents(spark), MULTI), MULTI).collect()
     assert sorted((r.ids, bytes(r.decoded)) for r in rows) == sorted((ranks.encode_ordinary(t or ""), (t or "").encode()) for _, t in TEXTS)
