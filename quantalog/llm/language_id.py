@@ -21,8 +21,8 @@ from quantalog.llm.shared import slices, written
 BUCKETS = 1 << 16
 #: A run of letters.
 LETTER = re.compile(r"[^\W\d_]+")
-#: Labelled rows that the text model is fitted on at most, spread evenly by a hash of their ids.
-SAMPLE = 6_000
+#: Languages that a task sums up at once (half a megabyte each).
+MOST_TOTALS = 64
 #: Trigrams overlap, so a text's log-likelihood counts for less; rows that a level of the prior is worth.
 TEMPER, STRENGTH = 0.25, 5.0
 #: Counts for a declaration or suffix never seen with a language.
@@ -40,26 +40,37 @@ def trigrams(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log-probability of each bucket in each: from at most `sample` labelled rows with letters."""
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages, and the log-probability of each bucket in each: from all labelled rows with letters.
+
+    A task sums up its rows, so what is shuffled is a row for each bucket, language and task whatever the number of texts.
+    """
     good = F.col(label_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    rows = labelled.where(good).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"), F.col(id_col).alias("id"))
-    first = written(rows.select("order", "id").orderBy("order", "id").limit(sample), "sample")  # ids only; at most `sample` of them
-    last = first.agg(F.max("order")).first()[0]
-    chosen = rows.where(F.col("order") <= F.lit(last if last is not None else 0)).repartition(16, "order")  # and rows that tie with the last
+    rows = labelled.where(good).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, total in totals.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["lang", "bucket", "n"])
+            totals.clear()
+
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(trigrams(text), minlength=BUCKETS)
-                totals[lang] = totals[lang] + got if lang in totals else got
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["lang", "bucket", "n"])
-
-    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+            for part in slices(batch, 1):
+                found: dict[str, list[np.ndarray]] = {}
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found.setdefault(lang, []).append(trigrams(text))
+                for lang, codes in found.items():
+                    if lang not in totals:
+                        if len(totals) == MOST_TOTALS:
+                            yield from told()
+                        totals[lang] = np.zeros(BUCKETS, np.int64)
+                    totals[lang] += np.bincount(np.concatenate(codes), minlength=BUCKETS)
+        yield from told()
+
+    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     model = np.full((len(langs), BUCKETS), 0.05)

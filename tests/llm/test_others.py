@@ -199,6 +199,16 @@ def test_posteriors_by_their_definition(spark):
     assert all(got[i][0] == plain[i][0] and abs(got[i][1] - plain[i][1]) < 1e-9 for i in got)
 
 
+def test_language_model_of_all_rows(spark):
+    """Every labelled row counts, also that whose id hashes last of more than 6,000."""
+    rows = spark.range(6_500).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    last = rows.orderBy(F.desc(F.xxhash64(F.col("doc_id").cast("string")))).first().doc_id
+    langs, weights = language_id.fit(rows.withColumn("lang", F.when(F.col("doc_id") == last, "zz").otherwise("en")))
+    assert langs == ["en", "zz"] and weights.shape == (2, language_id.BUCKETS)
+    share = np.exp(weights[0].astype(np.float64))
+    assert share.max() / share.min() == pytest.approx((6_499 + 0.05) / 0.05, rel=1e-3)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
