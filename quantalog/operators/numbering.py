@@ -13,20 +13,28 @@ from quantalog.operators.checkpoints import written
 
 #: Numbers of ranges and groups that are sent to every task (some 60 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of a range that is sorted by one task.
+RANGE_ROWS = 500_000
 #: monotonically_increasing_id has the partition above these bits and the row's place in it below.
 ROW_BITS = 33
 
 
-def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """df with each row's place (from 1) in a total order. A written table is dealt, so that nothing before it is worked out twice."""
-    columns = [f"__k{i}" for i in range(len(order))]
-    plain = written(df.withColumns(dict(zip(columns, order, strict=True))), "ordered")
-    dealt = plain.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__m", F.monotonically_increasing_id())
+def placed(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """df with each row's place (from 1) in a total order. A written table is dealt, so that nothing before it is worked out twice.
+
+    A key that is a column of df is given by its name; it isn't carried twice. The others are made
+    of the written columns, so they must not depend on chance. Ranges hold `RANGE_ROWS` rows or so.
+    """
+    made = {f"__k{i}": key for i, key in enumerate(order) if not isinstance(key, str)}
+    columns = [key if isinstance(key, str) else f"__k{i}" for i, key in enumerate(order)]
+    plain = written(df, "ordered")
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-plain.count() // RANGE_ROWS))
+    dealt = plain.withColumns(made).repartitionByRange(ranges, *columns).sortWithinPartitions(*columns).withColumn("__m", F.monotonically_increasing_id())
     dealt = written(dealt, "placed").withColumn("__part", F.shiftright("__m", ROW_BITS))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each range
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__before")
     row = F.col("__m").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
-    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + row).drop("__m", "__part", "__before", *columns)
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + row).drop("__m", "__part", "__before", *made)
 
 
 class Ordered:

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import duckdb
 import pytest
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from quantalog.functions import text
 from quantalog.functions.curve import slopes, survival
 from quantalog.functions.constants import ANCHOR_YEARS, ARRIVAL
-from quantalog.operators import certify, components, drift, events, graph, images, intake, joins, rules, scoring, sensitivity
-from quantalog.plans import evidence
+from quantalog.operators import certify, components, drift, events, graph, images, intake, joins, numbering, rules, scoring, sensitivity
+from quantalog.plans import evidence, risk
 from quantalog.sources import exports, inputs
 
 
@@ -392,3 +393,23 @@ def test_streams(spark, tmp_path):
     query = limits.tumbling(stream, "ts", "k", "1 minute").writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 60
+
+
+def test_places_by_ranges_of_bounded_rows(spark, monkeypatch):
+    """Ranges grow in number with the rows; a key that is a column is named and not carried twice."""
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 20)
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"), (F.col("id") % 3).alias("g"))
+    out = numbering.placed(rows, [-F.col("g"), "id"])
+    assert out.columns == ["id", "g", "place"]
+    assert [(r.g, r.id) for r in out.orderBy("place").collect()] == sorted([(r.g, r.id) for r in rows.collect()], key=lambda x: (-x[0], x[1]))
+    kept = out._jdf.queryExecution().analyzed().toString()
+    assert "__k1" not in kept
+
+
+def test_scoring_is_compiled(spark, sf_dir="/root/testdata/sf0.001"):
+    """The JVM interprets methods of over 8,000 bytes; the generated ones of the ranking's scores stay below."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is final
+    rows = risk.scored(spark, sf_dir).select("algorithm", *scoring.ORDER_COLUMNS)
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "codegen")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", plan))) < 7_000
