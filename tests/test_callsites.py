@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quantalog.plans import code
 from quantalog.operators import callsites
 
 FILES = {
@@ -148,3 +149,10 @@ def test_protocols(spark):
     words = {"TLSv1": "TLSv1.0", "TLS1_1_VERSION": "TLSv1.1", "'Tls'": "TLSv1.0", "TLS": None, "SSL30": "SSLv3", "Tls12": None, "sslv2": "SSLv2", "": None}
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", callsites.protocol_name(F.col("w")).alias("p")).collect()
     assert {r.w: r.p for r in rows} == words
+
+
+def test_files_are_dealt(spark, monkeypatch):
+    """Files are scanned in as many tasks as their number asks for, also where one file holds the table."""
+    monkeypatch.setattr(code, "FILES", 10)
+    files = code.code_files(spark, "/root/testdata/sf0.001")
+    assert len(files.inputFiles()) == 20 and files.count() == 200
