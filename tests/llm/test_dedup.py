@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -180,6 +181,34 @@ def test_longest_previous_factor():
     assert array.longest_previous(later=True).tolist() == [max((common(i, j) for j in range(i + 1, len(starts))), default=0) for i in starts]
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_factors_of_any_contexts(keep):
+    rng = random.Random(5)
+    for n in range(60):
+        texts = [bytes(rng.choice(b"ab" if n % 2 else b"abcdefgh") for _ in range(rng.randint(16, 90))) * rng.randint(1, 2) for _ in range(rng.randint(1, 6))]
+        texts += [texts[0][: rng.randint(16, len(texts[0]))]]
+        copies = np.array([rng.randint(1, 2) for _ in texts])
+        hit, counts = suffix_dedup._factors(texts, copies, 16, keep)
+        strings = [t[i : i + 16] for t in texts for i in range(len(t) - 15)]
+        again = [strings.count(x) > 1 or c > 1 for x, c in zip(strings, np.repeat(copies, counts), strict=True)]
+        assert hit.tolist() == (again if keep == "none" else [x in strings[:i] for i, x in enumerate(strings)])
+
+
+def test_only_repeated_strings_are_sorted(monkeypatch):
+    sorted_bytes = []
+
+    class Told(suffix_dedup.SuffixArray):
+        def __init__(self, data, starts, size):
+            sorted_bytes.append(len(data))
+            super().__init__(data, starts, size)
+
+    monkeypatch.setattr(suffix_dedup, "SuffixArray", Told)
+    rng = random.Random(6)
+    texts = [bytes(rng.randrange(256) for _ in range(700)) for _ in range(20)]
+    hit, _ = suffix_dedup._factors([*texts, texts[3][100:505]], np.ones(21, int), 400, "none")
+    assert hit.sum() == 12 and sum(sorted_bytes) == 2 * 405
+
+
 def test_rolling_and_anchors():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 5, 400).astype(np.uint64)
