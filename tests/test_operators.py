@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quantalog.functions import text
 from quantalog.functions.curve import slopes, survival
 from quantalog.functions.constants import ANCHOR_YEARS, ARRIVAL
-from quantalog.operators import certify, components, drift, events, graph, images, intake, joins, numbering, rules, scoring, sensitivity
+from quantalog.operators import certify, checkpoints, components, drift, events, graph, images, intake, joins, numbering, rules, scoring, sensitivity
 from quantalog.plans import evidence, risk
 from quantalog.sources import exports, inputs
 
@@ -413,3 +413,19 @@ def test_scoring_is_compiled(spark, sf_dir="/root/testdata/sf0.001"):
     plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "codegen")
     spark.conf.unset("spark.sql.adaptive.enabled")
     assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", plan))) < 7_000
+
+
+def test_large_star_is_not_gathered(spark, monkeypatch):
+    gathered = []
+
+    def told(df, rows, most, *keys):
+        gathered.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        return checkpoints.dealt(df, rows, most, *keys)
+
+    monkeypatch.setattr(components, "HOT_EDGES", 20)
+    monkeypatch.setattr(components, "TASK_EDGES", 50)
+    monkeypatch.setattr(components, "dealt", told)
+    star = [(i, 500 if i % 2 else 7) for i in range(1000, 1400)] + [(500, 600), (600, 7)] + [(i, i + 1) for i in range(2000, 2030)]
+    found = components.connected_components(spark.createDataFrame(star, "src long, dst long"))
+    expected = {**dict.fromkeys([7, 500, 600, *range(1000, 1400)], 7), **dict.fromkeys(range(2000, 2031), 2000)}
+    assert dict(map(tuple, found.collect())) == expected and max(gathered) <= 20
