@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantalog.functions.text import cipher_suite, stable_id
-from quantalog.operators.checkpoints import written
+from quantalog.operators.checkpoints import dealt, written
 from quantalog.operators.taxonomy import algorithm_facts
 
 SPECS = ("1.7", "1.6")
+#: Components (some kilobytes each with all their fields) that one task sorts or gathers.
+TASK_COMPONENTS = 50_000
 # Words of the public format for cryptographic components. Fixed values.
 ASSET_TYPES = {"algorithm": "algorithmProperties", "certificate": "certificateProperties", "protocol": "protocolProperties", "related-crypto-material": "relatedCryptoMaterialProperties"}
 PRIMITIVES = "drbg mac block-cipher stream-cipher signature hash pke xof kdf key-agree kem ae combiner other unknown".split()
@@ -158,7 +160,7 @@ def components(assets: DataFrame, as_of: str) -> DataFrame:
     usual = F.concat(F.array("own"), F.filter("parts", lambda p: p["component"]["bom-ref"] != col("ref")), F.array_compact(F.array(F.when(keeps, material), F.when(col("cert_subject").isNotNull(), certificate), F.when(talks, protocol))))
     made = rows.select(col("id").alias("asset"), F.explode(F.when(col("asset_class") == "crypto_library", F.array(library)).otherwise(usual)).alias("m"))
     named = made.select("asset", F.col("m.component.bom-ref").alias("ref"), F.coalesce("m.component.cryptoProperties.assetType", "m.component.type").alias("kind"), "m.component", "m.depends")
-    once = named.groupBy("ref").agg(F.min_by(F.struct("asset", "kind", "component", "depends"), "asset").alias("c"))
+    once = dealt(named, 4 * rows.count(), TASK_COMPONENTS, "ref").groupBy("ref").agg(F.min_by(F.struct("asset", "kind", "component", "depends"), "asset").alias("c"))
     return once.select("c.asset", "ref", "c.kind", "c.component", "c.depends")
 
 
@@ -175,10 +177,10 @@ def documents(made: DataFrame, estate: str, timestamp: str, spec: str = SPECS[0]
     if spec not in SPECS:
         raise ValueError(f"spec {spec!r} is none of {SPECS}")
     rows = written(lines(made), "lines")
-    number = F.col("asset")
+    number, count = F.col("asset"), rows.count()
     if not by_asset:
-        number = F.pmod(F.conv(F.substring(F.sha2("asset", 256), 1, 15), 16, 10).cast("long"), F.lit(rows.count() // most + 1)).cast("string")
-    held = rows.groupBy(number.alias("number")).agg(F.array_sort(F.collect_list(F.struct("ref", "line", "depends"))).alias("c"))  # some `most` rows
+        number = F.pmod(F.conv(F.substring(F.sha2("asset", 256), 1, 15), 16, 10).cast("long"), F.lit(count // most + 1)).cast("string")
+    held = dealt(rows.withColumn("number", number), count, TASK_COMPONENTS, "number").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("ref", "line", "depends"))).alias("c"))  # some `most` rows
     refs = F.array_join(F.col("c.ref"), "|")
     serial = F.concat(F.lit("urn:uuid:"), stable_id(F.lit(spec), F.lit(estate), F.lit(timestamp), refs))
     told = F.to_json(F.struct(F.transform("c", lambda c: F.struct(c["depends"].alias("dependsOn"), c["ref"].alias("ref"))).alias("dependencies")))
@@ -306,17 +308,21 @@ def assets(texts: DataFrame) -> DataFrame:
     The algorithm that has properties stands for its asset; key material, certificate and protocol come to it by their references.
     """
     rows = written(texts.select(F.posexplode(F.from_json("text", DOCUMENT)["components"]).alias("n", "c")), "components")
+    count = rows.count()
+    by_ref = lambda part: dealt(part, count, TASK_COMPONENTS, "ref")
     c = lambda path: F.col(f"c.cryptoProperties.{path}")
     kind = c("assetType")
     said = F.map_from_entries(F.array_distinct("c.properties"))
     own = rows.where((kind == "algorithm") & ~F.exists("c.properties", lambda p: p["name"] == "suite-part-of")).select(
         F.col("c.bom-ref").alias("ref"), F.col("c.name").alias("algorithm"), c("algorithmProperties.parameterSetIdentifier").try_cast("int").alias("key_size"), c("algorithmProperties.mode").alias("mode"), said.alias("properties")
     )
-    keys = rows.where(kind == "related-crypto-material").groupBy(c("relatedCryptoMaterialProperties.algorithmRef").alias("ref")).agg(F.min(c("relatedCryptoMaterialProperties.id")).alias("key_id"))
-    signed = rows.where(kind == "certificate").groupBy(c("certificateProperties.signatureAlgorithmRef").alias("ref")).agg(F.min(c("certificateProperties.subjectName")).alias("cert_subject"))
+    keys = rows.where(kind == "related-crypto-material").select(c("relatedCryptoMaterialProperties.algorithmRef").alias("ref"), c("relatedCryptoMaterialProperties.id").alias("key_id"))
+    keys = by_ref(keys).groupBy("ref").agg(F.min("key_id").alias("key_id"))
+    signed = rows.where(kind == "certificate").select(c("certificateProperties.signatureAlgorithmRef").alias("ref"), c("certificateProperties.subjectName").alias("cert_subject"))
+    signed = by_ref(signed).groupBy("ref").agg(F.min("cert_subject").alias("cert_subject"))
     spoken = rows.where(kind == "protocol").select(F.explode(c("protocolProperties.cryptoRefArray")).alias("ref"), c("protocolProperties.version").alias("protocol_version"), F.get(c("protocolProperties.cipherSuites"), F.lit(0))["name"].alias("cipher_suite"))
-    spoken = spoken.groupBy("ref").agg(F.min("protocol_version").alias("protocol_version"), F.min("cipher_suite").alias("cipher_suite"))
-    full = reduce(lambda left, right: left.join(right, "ref", "left"), [keys, signed, spoken], own)
+    spoken = by_ref(spoken).groupBy("ref").agg(F.min("protocol_version").alias("protocol_version"), F.min("cipher_suite").alias("cipher_suite"))
+    full = reduce(lambda left, right: left.join(right, "ref", "left"), [keys, signed, spoken], by_ref(own))
     none = F.lit(None).cast("string")
     libraries = rows.where("c.type = 'library'").select(F.col("c.bom-ref").alias("ref"), none.alias("algorithm"), none.cast("int").alias("key_size"), none.alias("mode"), said.alias("properties"), *[none.alias(x) for x in ("key_id", "cert_subject", "protocol_version", "cipher_suite")], F.col("c.name").alias("package"), F.col("c.version").alias("version"))
     return full.withColumns({"package": none, "version": none}).unionByName(libraries)

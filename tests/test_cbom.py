@@ -77,3 +77,11 @@ def test_assets_are_dealt_by_number(spark, tmp_path):
     spark.range(60_000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     dealt = plan.assets(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(dealt) >= 3 and max(r["count"] for r in dealt) <= plan.ASSETS and sum(r["count"] for r in dealt) == 60_000
+
+
+def test_components_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(cbom, "TASK_COMPONENTS", 10)
+    made = cbom.components(plan.assets(spark, "/root/testdata/sf0.001"), plan.AT)
+    assert made.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 40
+    docs = cbom.documents(made, "estate", plan.AT, by_asset=True)
+    assert docs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 40
