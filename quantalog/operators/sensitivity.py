@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,16 @@ def by_family(assets: DataFrame) -> DataFrame:
 
 
 def weight_sweep(assets: DataFrame, steps: int = 10, k: int = 10) -> DataFrame:
-    """w, id, score, rank: the k best for each weight of the first axis. k rows of each weight and task are all that meets."""
-    weights = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / steps)).alias("w")
-    rows = assets.select("id", "h_score", "t_score", weights)
-    scored = rows.select("w", "id", F.round(F.col("w") * F.col("h_score") + (1 - F.col("w")) * F.col("t_score"), 6).alias("score"))
-    local = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    best = lambda keys: Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-    first = local.withColumn("n", F.row_number().over(best(["w", "salt"]))).where(F.col("n") <= k)
-    return first.withColumn("rank", F.row_number().over(best(["w"])).cast("bigint")).where(F.col("rank") <= k).select("w", "id", "score", "rank")
+    """w, id, score, rank: the k best for each weight of the first axis. Each weight is a pass over three written columns that keeps k rows a task; nothing is sorted."""
+    rows = written(assets.select("id", "h_score", "t_score"), "axes")
+
+    def best(w: Column) -> DataFrame:
+        score = F.round(w * F.col("h_score") + (1 - w) * F.col("t_score"), 6).alias("score")
+        return rows.select(w.alias("w"), "id", score).orderBy(F.desc("score"), "id").limit(k)
+
+    found = reduce(DataFrame.unionByName, [best(F.lit(i / steps)) for i in range(steps + 1)])
+    rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "id")).cast("bigint")  # k rows each
+    return found.withColumn("rank", rank).select("w", "id", "score", "rank")
 
 
 def always_on_top(sweep: DataFrame, steps: int = 10) -> DataFrame:

@@ -429,3 +429,23 @@ def test_large_star_is_not_gathered(spark, monkeypatch):
     found = components.connected_components(spark.createDataFrame(star, "src long, dst long"))
     expected = {**dict.fromkeys([7, 500, 600, *range(1000, 1400)], 7), **dict.fromkeys(range(2000, 2031), 2000)}
     assert dict(map(tuple, found.collect())) == expected and max(gathered) <= 20
+
+
+def test_sweep_sorts_no_copies_of_the_rows(spark):
+    rng = random.Random(8)
+    rows = [(f"a{i:03}", rng.randint(0, 20) / 20, rng.randint(0, 20) / 20) for i in range(300)]
+    found = sensitivity.weight_sweep(spark.createDataFrame(rows, "id string, h_score double, t_score double"), steps=4, k=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "WindowGroupLimit" not in plan
+    expected = []
+    for w in (0.0, 0.25, 0.5, 0.75, 1.0):
+        best = sorted((-round(w * h + (1 - w) * t, 6), i) for i, h, t in rows)[:7]
+        expected += [(w, i, -score, n + 1) for n, (score, i) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_dashboard_sorts_nothing(spark):
+    found = risk.QUERIES["dashboard"][0](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Expand" not in plan
+    assert found.count() == 1
