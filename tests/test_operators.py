@@ -11,7 +11,7 @@ from quantalog.functions.curve import slopes, survival
 from quantalog.functions.constants import ANCHOR_YEARS, ARRIVAL
 from quantalog.operators import certify, checkpoints, components, drift, events, graph, images, intake, joins, numbering, rules, scoring, sensitivity
 from quantalog.plans import evidence, risk
-from quantalog.sources import exports, inputs
+from quantalog.sources import estate, exports, inputs
 
 
 def rows(df, *columns):
@@ -449,3 +449,13 @@ def test_dashboard_sorts_nothing(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Expand" not in plan
     assert found.count() == 1
+
+
+def test_lines_meet_orders_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(estate, "LINES", 300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line, plan = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count(), estate.findings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(re.search(rf"hashpartitioning\({key}#\d+L?, {-(-line // 300)}\), REPARTITION_BY_NUM", plan) for key in ("l_orderkey", "o_orderkey"))
