@@ -1,7 +1,7 @@
 """Basic blocks, control flow, loops and data flow of machine code, over all functions at once.
 
 instructions: func, addr, cls (cbr, jmp, ret or anything else), target (address, null if not known). Functions are the groups of windows;
-loops are strong components of one graph of all functions, and reaching definitions a fixpoint over rows that are new in a round.
+loops are worked out within a function where few blocks can be on a cycle, else as strong components of one graph, and reaching definitions a fixpoint over rows that are new in a round.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from quantalog.operators.checkpoints import removed, shared_path, written
 from quantalog.operators.graph import strongly_connected
 
 BRANCHES, ENDS = ("cbr", "jmp"), ("cbr", "jmp", "ret")
+#: Blocks that a number has bits for, without its sign.
+BITS = 63
 
 
 def blocks(instructions: DataFrame) -> DataFrame:
@@ -34,8 +36,40 @@ def flow(in_blocks: DataFrame) -> DataFrame:
     return jumps.unionByName(falls.join(last.select("func", F.col("block").alias("b")), ["func", "b"], "left_semi").select("func", "a", "b")).distinct()
 
 
-def loops(edges: DataFrame) -> DataFrame:
-    """func, loop (its least block), block: blocks that control comes back to."""
+def _between(edges: DataFrame) -> DataFrame:
+    """edges with low and high, for those that can be on a cycle: its least block is led to, and its greatest left, by an edge that doesn't go up."""
+    back = edges.where("b <= a").groupBy("func").agg(F.min("b").alias("low"), F.max("a").alias("high"))
+    return edges.join(back, "func").where("a between low and high and b between low and high")
+
+
+def _masked_loops(edges: DataFrame) -> DataFrame:
+    """Loops of functions whose cycles lie within `BITS` blocks: what a block reaches is one number, closed over each block in between (Warshall)."""
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int"))
+    bit = lambda mask, n: F.call_function("shiftright", mask, n.cast("int")).bitwiseAND(F.lit(1)) == 1
+    rows = edges.select("func", "low", (F.col("high") - F.col("low")).cast("int").alias("top"), (F.col("a") - F.col("low")).cast("int").alias("x"), (F.col("b") - F.col("low")).alias("y"))
+    out = rows.groupBy("func", "low", "top", "x").agg(F.bit_or(one(F.col("y"))).alias("m"))
+    of_func = out.groupBy("func", "low", "top").agg(F.map_from_entries(F.collect_list(F.struct("x", "m"))).alias("led"))  # BITS entries at most
+    blocks_ = F.sequence(F.lit(0), F.col("top"))
+    direct = F.transform(blocks_, lambda x: F.coalesce(F.col("led")[x], F.lit(0).cast("bigint")))
+    through = lambda masks, k: F.transform(masks, lambda m: F.when(bit(m, k), m.bitwiseOR(F.get(masks, k))).otherwise(m))
+    closed = of_func.select("func", "low", "top", F.aggregate(blocks_, direct, through).alias("reached"))
+    each = closed.select("func", "low", "top", "reached", F.posexplode("reached").alias("x", "m")).where(bit(F.col("m"), F.col("x")))
+    least = F.get(F.filter(blocks_, lambda y: bit(F.col("m"), y) & bit(F.get("reached", y), F.col("x"))), F.lit(0))
+    return each.select("func", (F.col("low") + least).alias("loop"), (F.col("low") + F.col("x")).alias("block"))
+
+
+def loops(edges: DataFrame, bits: int = BITS) -> DataFrame:
+    """func, loop (its least block), block: blocks that control comes back to.
+
+    Functions whose cycles lie within `bits` blocks (`BITS` at most) are settled row by row; those of all others are strong components of one graph.
+    """
+    near = written(_between(edges), "flow")
+    large = near.where(F.col("high") - F.col("low") >= bits)
+    found = _masked_loops(near.where(F.col("high") - F.col("low") < bits))
+    return found if large.isEmpty() else found.unionByName(_component_loops(large))
+
+
+def _component_loops(edges: DataFrame) -> DataFrame:
     name = lambda c: F.struct("func", F.col(c).alias("block"))
     graph = written(edges.select(name("a").alias("source"), name("b").alias("target")), "flow")
     found = strongly_connected(graph)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantalog.operators import byteseries, controlflow
+from quantalog.operators.checkpoints import written
 from quantalog.sources.estate import pick, table
 
 QUERIES: dict[str, tuple] = {}
@@ -63,7 +64,7 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     kind = e * 7 % 9
     rows = table(spark, sf_dir, "events").select(F.floor(e / 12).alias("func"), (e % 12).alias("addr"), pick(["mov", "cbr", "alu", "alu", "jmp", "mov", "cbr", "ret", "mov"], kind).alias("cls"), F.when(kind.isin(1, 4, 6), e * 5 % 14).alias("target"))
-    return controlflow.blocks(rows)
+    return written(controlflow.blocks(rows), "blocks")  # flow reads them four times
 
 
 @query(f"WITH {_CODE_SQL} SELECT func, block, count(*) AS instructions, min(addr) AS first, arg_max(cls, addr) AS ends FROM k GROUP BY func, block")
