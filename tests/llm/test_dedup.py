@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -301,3 +302,43 @@ def test_similar_large_group(spark, monkeypatch):
         texts.append((k, " ".join(edited)))
     assert linked(spark, texts) == dict.fromkeys(range(500), 0)
     assert sum(compared) <= 5 * len(texts)
+
+
+def plain_contexts(texts, match, gram):
+    """Runs of strings by the place of each string's anchor, text by text."""
+    out = []
+    for n, text in enumerate(texts):
+        data, before = np.frombuffer(text, np.uint8), None
+        if len(data) >= match:
+            grams = suffix_dedup.hashed(data, gram)
+            for start, place in enumerate(suffix_dedup.first_least(grams, match - gram + 1).tolist()):
+                if place != before:
+                    out.append([n, start, 0, int(grams[place])])
+                out[-1][2] += 1
+                before = place
+    return [tuple(x) for x in out]
+
+
+def test_contexts_and_removal_equal_plain_versions():
+    """Texts of few letters, repeated ones and empty ones; spans that meet at the end of a text stay apart."""
+    rng = random.Random(4)
+    for trial in range(60):
+        texts = [bytes(rng.choice(b"ab" if trial % 2 else b"abcdefgh") for _ in range(rng.choice([0, 7, 8, 9, 40]))) * rng.choice([1, 3]) for _ in range(rng.randrange(1, 7))]
+        data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+        text, start, count, anchor, first = suffix_dedup.contexts(data, lengths, 8, 3)
+        assert list(zip(text.tolist(), start.tolist(), count.tolist(), anchor.tolist(), strict=True)) == plain_contexts(texts, 8, 3)
+        assert first.tolist() == [s + int(lengths[:t].sum()) for t, s in zip(text.tolist(), start.tolist(), strict=True)]
+        marks, expected = [], []
+        for t in texts:
+            last, own, gone = len(t) - 8, [], set()
+            for _ in range(rng.choice([0, 1, 3]) if last >= 0 else 0):
+                low = sorted(rng.randrange(0, last // 2 + 1) for _ in range(rng.randrange(3)))
+                high = [rng.randrange(x, last // 2 + 1) + 1 for x in low]
+                starts = [rng.randrange(0, last - last // 2 + 1) for _ in range(rng.randrange(1, 3))]
+                own.append({"starts": starts, "low": low, "high": high})
+                gone |= {i for s in starts for a, b in zip(low, high, strict=True) for i in range(s + a, s + b - 1 + 8)}
+            marks.append(own or None)
+            expected.append((len(t), len(gone), sum(i - 1 not in gone for i in gone), bytes(c for i, c in enumerate(t) if i not in gone)))
+        kind = pa.list_(pa.struct([(n, pa.list_(pa.int32())) for n in ("starts", "low", "high")]))
+        sizes, removed, spans, kept = suffix_dedup._without(data, lengths, pa.array([[]] + marks, kind).slice(1), 8)
+        assert list(zip(sizes.tolist(), removed.tolist(), spans.tolist(), strict=True)) == [x[:3] for x in expected] and kept.tobytes() == b"".join(x[3] for x in expected)
