@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from quantalog.functions import text
 from quantalog.functions.curve import slopes, survival
 from quantalog.functions.constants import ANCHOR_YEARS, ARRIVAL
 from quantalog.operators import certify, checkpoints, components, drift, events, graph, images, intake, joins, numbering, rules, scoring, sensitivity
-from quantalog.plans import evidence, risk
+from quantalog.plans import activity, evidence, risk
 from quantalog.sources import estate, exports, inputs
 
 
@@ -280,6 +281,14 @@ def test_pairs_of_certificates_and_hosts_are_not_written(spark, monkeypatch):
     assert max(sizes.values()) <= 2 * 300, sizes
 
 
+def test_drift_leaves_no_findings_behind(spark):
+    """Findings written for the rules are deleted before the records are read."""
+    left = lambda: {p for p in Path(checkpoints.shared_folder(spark)).rglob("observed*")}
+    before = left()
+    records = activity.drift_records(spark, "/root/testdata/sf0.001")
+    assert left() == before and records.count() > 0
+
+
 def test_binaries_meet_manifests_by_distinct_paths(spark):
     """Rows of a path and version are one before they meet the manifests of all systems above it."""
     said = [(f"m{n}", "source", f"s{n}", "/srv", None, 3) for n in range(300)]
